@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reports work on stored tables only: no stream source, watermark or
+stateful operator appears in them, so this package holds no operator. The
+operators in ``rota.operators`` are plain DataFrame transformations and can be
+applied to a micro-batch inside ``foreachBatch`` when the tables arrive as
+streams.
+"""
