@@ -110,12 +110,21 @@ def allow_list(ip_ranges: DataFrame, mapping: DataFrame, locations: DataFrame,
                location_id: str = "ID", ip_location: str = "GeoConfigurationID",
                fields: Sequence[str] = ("IPFrom", "IPTo"), out: str = "IPRange") -> DataFrame:
     """IP rows whose location id is ``IN`` the owner's mapped locations, as one
-    sorted array per owner: (owner, out). Two mapping rows at one location do
-    not repeat its IP rows; equal IP rows are both kept."""
+    array per owner: (owner, out). Two mapping rows at one location do not
+    repeat its IP rows; equal IP rows are both kept. Elements are ordered by
+    location id, then by ``fields``.
+
+    An IP list belongs to a location, so it is built once per location (a
+    sorted array) and joined to the distinct (owner, location) pairs; the
+    per-owner aggregate then gathers one array per location instead of one
+    row per (owner, IP) pair, and sorts only its few location entries.
+    """
     ids = owner_location_ids(mapping, locations, owner, location, location_id)
-    ips = ip_ranges.select(F.col(ip_location).alias(location), *fields)
-    return (ids.join(ips, location, "inner")
-            .groupBy(owner).agg(sorted_array(*fields).alias(out)))
+    per_location = (ip_ranges.select(F.col(ip_location).alias(location), *fields)
+                    .groupBy(location).agg(sorted_array(*fields).alias("_ips")))
+    by_location = F.array_sort(F.collect_list(F.struct(location, "_ips")))
+    return (ids.join(per_location, location, "inner")
+            .groupBy(owner).agg(F.flatten(F.transform(by_location, lambda e: e["_ips"])).alias(out)))
 
 
 def rule_lookup(rules: DataFrame, key: str = "ShiftID",

@@ -108,7 +108,8 @@ def shift_blocks(df: DataFrame, keys: Keys = ("EmpCode", "ShiftID"), day: str =
 
 
 def change_blocks(df: DataFrame, owner: Keys, day: str, value: str,
-                  start: str = "ShiftStart", end: str = "ShiftEnd") -> DataFrame:
+                  start: str = "ShiftStart", end: str = "ShiftEnd",
+                  weight: str | None = None) -> DataFrame:
     """Change blocks per (owner, value), the LEAD/LAG form.
 
     Rows of an owner are ordered by (day, value NULLS FIRST). A row is kept
@@ -122,11 +123,15 @@ def change_blocks(df: DataFrame, owner: Keys, day: str, value: str,
     decides what the duplicates of a row contribute: a duplicate follows its
     twin, so it is kept only for a NULL value, and the twin's next day is its
     own day.
+
+    ``weight`` names a row-count column when the input is already reduced
+    (e.g. ``roster_daily``); raw rows count one each.
     """
     owners = _keys(owner)
     d, v, n = F.col(day), F.col(value), F.col("_n")
+    count = F.sum(weight) if weight else F.count(F.lit(1))
     runs = (df.where(d.isNotNull())
-            .groupBy(*owners, day, value).agg(F.count(F.lit(1)).alias("_n")))
+            .groupBy(*owners, day, value).agg(count.alias("_n")))
     w = Window.partitionBy(*owners).orderBy(d.asc(), v.asc_nulls_first())
     prev_v = F.lag(value).over(w)
     is_first = F.lag(day).over(w).isNull()
@@ -168,15 +173,28 @@ def resolve_overlaps(df: DataFrame, owner: Keys, start: str, end: str, candidate
     return resolve_daily(days, owners, day, candidate)
 
 
+def restrict_owners(df: DataFrame, owner: Keys, owners: DataFrame | None) -> DataFrame:
+    """Keep rows whose owner key is in ``owners`` (a one-column frame of keys);
+    a no-op for ``None``. Left-semi: rows are never multiplied."""
+    if owners is None:
+        return df
+    key = _keys(owner)[0]
+    k = owners.select(F.col(owners.columns[0]).alias("_owner_key"))
+    return df.join(k, df[key] == k["_owner_key"], "left_semi")
+
+
 def resolved_ranges(df: DataFrame, owner: Keys, start: str, end: str, candidate: str,
                     day: str = "SingleDate", range_start: str = "RangeStart",
-                    range_end: str = "RangeEnd") -> DataFrame:
+                    range_end: str = "RangeEnd", owners: DataFrame | None = None) -> DataFrame:
     """Overlap-free date ranges per (owner, candidate): each day goes to the
     highest covering candidate, then each candidate's days collapse to maximal
-    runs. Result: (owner..., candidate, range_start, range_end)."""
-    owners = _keys(owner)
-    won = resolve_overlaps(df, owners, start, end, candidate, day=day)
-    return islands(won.where(F.col(candidate).isNotNull()), [*owners, candidate], day,
+    runs. Result: (owner..., candidate, range_start, range_end). ``owners``
+    restricts the result to those owner keys (applied to the resolved days,
+    i.e. after the map-side reduction)."""
+    keys = _keys(owner)
+    won = restrict_owners(resolve_overlaps(df, keys, start, end, candidate, day=day),
+                          keys, owners)
+    return islands(won.where(F.col(candidate).isNotNull()), [*keys, candidate], day,
                    start=range_start, end=range_end, unique=True)
 
 

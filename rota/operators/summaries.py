@@ -30,9 +30,22 @@ LOCATION_FIELDS = ("georange", "rangeinkm", "Latitude", "Longitude", "FromDate",
                    "LocationAlias")
 
 
+def roster_daily(roster: DataFrame, emp: str = "EmpCode", shift: str = "ShiftID",
+                 day: str = "Date", fields: Sequence[str] = ROSTER_FIELDS,
+                 rows: str = "_rows") -> DataFrame:
+    """The roster reduced to one row per (employee, shift, day): MIN of each
+    field and the row count. Every report branch that reads the roster can
+    read this instead (MIN/MAX are unchanged by pre-aggregation, the count
+    keeps what LEAD/LAG needs), so the roster is scanned and shuffled once and
+    a hot employee is collapsed map-side to its distinct (shift, day) pairs."""
+    return roster.groupBy(emp, shift, day).agg(
+        *[F.min(c).alias(c) for c in fields], F.count(F.lit(1)).alias(rows))
+
+
 def roster_aggregates(roster: DataFrame, emp: str = "EmpCode", shift: str = "ShiftID",
                       day: str = "Date", fields: Sequence[str] = ROSTER_FIELDS) -> DataFrame:
-    """MIN of each roster field and the first/last day per (employee, shift)."""
+    """MIN of each roster field and the first/last day per (employee, shift).
+    Accepts raw roster rows or ``roster_daily`` output."""
     return roster.groupBy(emp, shift).agg(
         *[F.min(c).alias(c) for c in fields],
         F.min(day).alias("ShiftStart"), F.max(day).alias("ShiftEnd"))
@@ -84,6 +97,23 @@ def shift_summary(roster: DataFrame, shifts: DataFrame, breaks: DataFrame | None
     return out
 
 
+def location_pairs(mapping: DataFrame, owner: str = "EmployeeCode",
+                   location: str = "LocationID") -> DataFrame:
+    """The mapping reduced to one row per (owner, location): MIN georange,
+    MAX rangeinkm (as INT), MIN FromDate, MIN ToDate and the punch bits as
+    MAX INT. Flags, location summaries, v5 attributes and the IP allow-list
+    give the same results on this as on the raw rows, so the mapping is
+    aggregated once (map-side first) and shared by those branches."""
+    return mapping.groupBy(owner, location).agg(
+        F.min("georange").alias("georange"),
+        bit_or("rangeinkm").alias("rangeinkm"),
+        F.min("FromDate").alias("FromDate"),
+        F.min("ToDate").alias("ToDate"),
+        bit_or("PunchIn").alias("PunchIn"),
+        bit_or("PunchOut").alias("PunchOut"),
+    )
+
+
 def location_summary(mapping: DataFrame, locations: DataFrame, owner: str = "EmployeeCode",
                      location: str = "LocationID", location_id: str = "ID") -> DataFrame:
     """Per (owner, location) with a master row: MIN georange, MAX rangeinkm,
@@ -113,10 +143,17 @@ def location_summary_array(mapping: DataFrame, locations: DataFrame,
 
 def location_details(mapping: DataFrame, locations: DataFrame, owner: str = "EmployeeCode",
                      location: str = "LocationID", location_id: str = "ID",
-                     start: str = "FromDate", end: str = "ToDate") -> DataFrame:
+                     start: str = "FromDate", end: str = "ToDate",
+                     intervals: DataFrame | None = None,
+                     owners: DataFrame | None = None) -> DataFrame:
     """Per (owner, location) with a master row: MIN georange, MAX rangeinkm,
     MIN coordinates, MIN alias and ``DateRanges`` - the overlap-resolved date
-    ranges the location wins (absent when it wins no day)."""
+    ranges the location wins (absent when it wins no day).
+
+    ``mapping`` may be raw rows or ``location_pairs``; ``intervals`` are the
+    raw interval rows to expand (default: ``mapping``). ``owners`` (one column,
+    the owner key) restricts the resolved days after their partial
+    aggregation, before the islands are built."""
     joined = mapped_locations(mapping, locations, owner, location, location_id,
                               ("Latitude", "Longitude", "LocationAlias"))
     attrs = joined.groupBy(owner, location).agg(
@@ -126,7 +163,8 @@ def location_details(mapping: DataFrame, locations: DataFrame, owner: str = "Emp
         F.min("Longitude").alias("Longitude"),
         F.min("LocationAlias").alias("LocationAlias"),
     )
-    ranges = (resolved_ranges(mapping, owner, start, end, location)
+    ranges = (resolved_ranges(intervals if intervals is not None else mapping,
+                              owner, start, end, location, owners=owners)
               .groupBy(owner, location)
               .agg(sorted_array("RangeStart", "RangeEnd").alias("DateRanges")))
     return attrs.join(ranges, [owner, location], "left")

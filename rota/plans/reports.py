@@ -26,9 +26,10 @@ from rota.operators.access import (
 from rota.operators.documents import (
     attach, child_array, detail_object, keyed_elements, to_json_columns,
 )
-from rota.operators.intervals import change_blocks, daily_ranges
+from rota.operators.intervals import change_blocks, daily_ranges, restrict_owners
 from rota.operators.summaries import (
-    BREAK_FIELDS, ROSTER_FIELDS, location_details, location_summary_array, shift_summary,
+    BREAK_FIELDS, ROSTER_FIELDS, location_details, location_pairs, location_summary_array,
+    roster_daily, shift_summary,
 )
 from rota.sources.roles import RosterTables
 
@@ -67,26 +68,32 @@ VARIANTS = {
 _DEFAULT = object()
 
 
-def driving_set(t: RosterTables, top_n: int | None = None) -> DataFrame:
+def driving_set(t: RosterTables, top_n: int | None = None,
+                roster: DataFrame | None = None) -> DataFrame:
     """Employees with a status row and at least one roster row; the first
-    ``top_n`` by employee code when given."""
+    ``top_n`` by employee code when given. ``roster`` may be the reduced
+    roster (``roster_daily``) to share its scan."""
     emp = t.employees.join(t.status, F.col("ED_Status") == F.col("ESM_EmpStatusID"), "inner")
-    emp = owners_with(emp, t.roster, "ed_empcode", "EmpCode")
+    emp = owners_with(emp, t.roster if roster is None else roster, "ed_empcode", "EmpCode")
     emp = emp.select(F.col("ed_empcode").alias("EmpCode"), *IDENTITY)
     if top_n is not None:
         emp = emp.orderBy("EmpCode").limit(top_n)
     return emp
 
 
-def restrict(df: DataFrame, key: str, driving: DataFrame) -> DataFrame:
-    """Keep rows of ``df`` whose ``key`` is a driving employee. Used only with
-    a top-N driving set, whose size is bounded by N, hence the broadcast."""
-    keys = F.broadcast(driving.select(F.col("EmpCode").alias("_key")))
-    return df.join(keys, df[key] == keys["_key"], "left_semi")
+def driving_keys(driving: DataFrame, top_n: int | None) -> DataFrame:
+    """The driving employee keys as a one-column frame. With a top-N the set
+    is bounded by N rows, so it is broadcast explicitly; otherwise the join
+    strategy is left to the planner (AQE broadcasts it only when measured
+    below the threshold, else shuffles)."""
+    keys = driving.select(F.col("EmpCode").alias("_key"))
+    return F.broadcast(keys) if top_n is not None else keys
 
 
-def shift_elements(t: RosterTables, v: Variant, roster: DataFrame) -> DataFrame:
-    """(EmpCode, ShiftDetails array) for one variant."""
+def shift_elements(t: RosterTables, v: Variant, roster: DataFrame,
+                   weight: str | None = None) -> DataFrame:
+    """(EmpCode, ShiftDetails array) for one variant. ``roster`` is raw roster
+    rows, or ``roster_daily`` output with its row-count column as ``weight``."""
     breaks = t.breaks if v.breaks else None
     summary = shift_summary(roster, t.shifts, breaks, v.breaks)
     master_fields = [*SHIFT_MASTER_HEAD, *(("ShiftStart", "ShiftEnd") if v.shift_span else ()),
@@ -94,7 +101,7 @@ def shift_elements(t: RosterTables, v: Variant, roster: DataFrame) -> DataFrame:
     break_fields = list(BREAK_FIELDS) if v.breaks else []
 
     if v.shift_encoding == "flat":
-        blocks = change_blocks(roster, "EmpCode", "Date", "ShiftID")
+        blocks = change_blocks(roster, "EmpCode", "Date", "ShiftID", weight=weight)
         summary = summary.drop("ShiftStart", "ShiftEnd").join(
             blocks, ["EmpCode", "ShiftID"], "inner")
         fields = ["ShiftID", *ROSTER_FIELDS, *master_fields, *break_fields]
@@ -112,11 +119,15 @@ def shift_elements(t: RosterTables, v: Variant, roster: DataFrame) -> DataFrame:
     return keyed_elements(roster, details, "EmpCode", "ShiftID", "ShiftDetails", "ShiftDetails")
 
 
-def location_elements(t: RosterTables, v: Variant, mapping: DataFrame) -> DataFrame:
-    """(EmployeeCode, LocationDetails array) for one variant."""
+def location_elements(t: RosterTables, v: Variant, mapping: DataFrame,
+                      intervals: DataFrame | None = None,
+                      owners: DataFrame | None = None) -> DataFrame:
+    """(EmployeeCode, LocationDetails array) for one variant. ``mapping`` may
+    be raw rows or ``location_pairs``; v5 expands ``intervals`` (default:
+    ``mapping``) restricted to ``owners`` after the daily reduction."""
     if v.location == "summary":
         return location_summary_array(mapping, t.locations)
-    det = location_details(mapping, t.locations)
+    det = location_details(mapping, t.locations, intervals=intervals, owners=owners)
     det = det.select("EmployeeCode", "LocationID",
                      detail_object(LOCATION_DETAIL_FIELDS, "nested").alias("LocationDetails"))
     return keyed_elements(mapping, det, "EmployeeCode", "LocationID", "LocationDetails",
@@ -133,21 +144,24 @@ def employee_report(t: RosterTables, variant: str | Variant = "v3", top_n=_DEFAU
     """
     v = VARIANTS[variant] if isinstance(variant, str) else variant
     n = v.top_n if top_n is _DEFAULT else top_n
-    driving = driving_set(t, n)
 
-    roster, mapping = t.roster, t.mapping
-    if n is not None:
-        roster = restrict(roster, "EmpCode", driving)
-        mapping = restrict(mapping, "EmployeeCode", driving)
+    # One scan + map-side reduction per fact table, shared by every branch.
+    daily = roster_daily(t.roster)        # (EmpCode, ShiftID, Date) grain
+    pairs = location_pairs(t.mapping)     # (EmployeeCode, LocationID) grain
+    driving = driving_set(t, n, roster=daily)
+    keys = driving_keys(driving, n)
+    roster = restrict_owners(daily, "EmpCode", keys)
+    mapping = restrict_owners(pairs, "EmployeeCode", keys)
 
     if v.flags == "global":
-        doc = attach_global_flags(driving, t.mapping, t.locations)
+        doc = attach_global_flags(driving, pairs, t.locations)
     else:
         doc = attach_flags(driving, access_flags(mapping, t.locations), "EmpCode")
 
-    doc = attach(doc, shift_elements(t, v, roster), "EmpCode", "EmpCode", ["ShiftDetails"])
-    doc = attach(doc, location_elements(t, v, mapping), "EmpCode", "EmployeeCode",
-                 ["LocationDetails"])
+    doc = attach(doc, shift_elements(t, v, roster, weight="_rows"), "EmpCode", "EmpCode",
+                 ["ShiftDetails"])
+    doc = attach(doc, location_elements(t, v, mapping, intervals=t.mapping, owners=keys),
+                 "EmpCode", "EmployeeCode", ["LocationDetails"])
     doc = attach(doc, allow_list(t.ip_ranges, mapping, t.locations), "EmpCode", "EmployeeCode",
                  ["IPRange"])
     doc = doc.select("EmpCode", *IDENTITY, *FLAGS, *DOCUMENT_COLUMNS)
