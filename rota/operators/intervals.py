@@ -179,8 +179,9 @@ def restrict_owners(df: DataFrame, owner: Keys, owners: DataFrame | None) -> Dat
     if owners is None:
         return df
     key = _keys(owner)[0]
-    k = owners.select(F.col(owners.columns[0]).alias("_owner_key"))
-    return df.join(k, df[key] == k["_owner_key"], "left_semi")
+    # Joined on the key columns as they are: a rename would hide a hash
+    # partitioning of ``owners`` from the planner and cost a shuffle.
+    return df.join(owners, df[key] == owners[owners.columns[0]], "left_semi")
 
 
 def resolved_ranges(df: DataFrame, owner: Keys, start: str, end: str, candidate: str,

@@ -5,9 +5,10 @@ Plan shape (any variant):
 1. Driving set: employees x status (inner; the status dimension is small and
    AQE broadcasts it when measured small), left-semi against the distinct
    roster employees (EXISTS), optionally top-N by employee code.
-2. With a top-N, every branch input (roster, mapping) is first semi-joined to
-   the N chosen keys. That key set is bounded by N, so it is broadcast
-   explicitly; every later shuffle then moves only those employees' rows.
+2. With a top-N, every branch input (roster, mapping) is first filtered to the
+   N chosen keys (pushed into the scans); without one, the reduced inputs are
+   materialised once, partitioned by employee, and semi-joined to the driving
+   set.
 3. Branches, each reduced to one row per employee with partial aggregation:
    access flags, shift details, location details, IP allow-list.
 4. One-to-one left joins on the employee key, JSON text at the edge, ORDER BY.
@@ -31,6 +32,7 @@ from rota.operators.summaries import (
     BREAK_FIELDS, ROSTER_FIELDS, location_details, location_pairs, location_summary_array,
     roster_daily, shift_summary,
 )
+from rota.session import materialize
 from rota.sources.roles import RosterTables
 
 # Identity columns of the report, in output order.
@@ -86,7 +88,7 @@ def driving_keys(driving: DataFrame, top_n: int | None) -> DataFrame:
     is bounded by N rows, so it is broadcast explicitly; otherwise the join
     strategy is left to the planner (AQE broadcasts it only when measured
     below the threshold, else shuffles)."""
-    keys = driving.select(F.col("EmpCode").alias("_key"))
+    keys = driving.select("EmpCode")
     return F.broadcast(keys) if top_n is not None else keys
 
 
@@ -134,6 +136,11 @@ def location_elements(t: RosterTables, v: Variant, mapping: DataFrame,
                           "LocationDetails")
 
 
+# Above this many keys a top-N report goes the materialised way instead of
+# a literal key filter.
+LITERAL_KEYS_MAX = 10_000
+
+
 def employee_report(t: RosterTables, variant: str | Variant = "v3", top_n=_DEFAULT,
                     output: str = "json", ordered: bool = True) -> DataFrame:
     """One document row per employee.
@@ -141,26 +148,49 @@ def employee_report(t: RosterTables, variant: str | Variant = "v3", top_n=_DEFAU
     ``variant``: 'v1' .. 'v5' or a ``Variant``. ``top_n``: defaults to the
     variant's; ``None`` reports every employee. ``output``: 'json' gives JSON
     text columns, 'struct' keeps arrays/structs (for writing to parquet).
+
+    Two plans:
+
+    * top-N (N up to ``LITERAL_KEYS_MAX``): the N driving rows are computed
+      first (one job; N rows reach the driver, a bound set by the caller) and
+      their keys become an ``IN`` filter on every fact table, pushed into the
+      parquet scans. Every later operator sees only those employees' rows.
+    * every employee (or a larger N): the reduced roster, the reduced mapping
+      and the driving set are each computed once, hash-partitioned by
+      employee and checkpointed to ``spark.checkpoint.dir`` (three jobs). The
+      branches read them instead of re-scanning the fact tables, and group-bys,
+      windows and joins keyed by employee reuse that partitioning.
     """
     v = VARIANTS[variant] if isinstance(variant, str) else variant
     n = v.top_n if top_n is _DEFAULT else top_n
-
-    # One scan + map-side reduction per fact table, shared by every branch.
-    daily = roster_daily(t.roster)        # (EmpCode, ShiftID, Date) grain
-    pairs = location_pairs(t.mapping)     # (EmployeeCode, LocationID) grain
-    driving = driving_set(t, n, roster=daily)
-    keys = driving_keys(driving, n)
-    roster = restrict_owners(daily, "EmpCode", keys)
-    mapping = restrict_owners(pairs, "EmployeeCode", keys)
+    spark = t.roster.sparkSession
+
+    if n is not None and n <= LITERAL_KEYS_MAX:
+        top = driving_set(t, n)
+        rows = top.collect()
+        driving = spark.createDataFrame(rows, top.schema)
+        keys = [r["EmpCode"] for r in rows]
+        raw_mapping = t.mapping.where(F.col("EmployeeCode").isin(keys))
+        roster = roster_daily(t.roster.where(F.col("EmpCode").isin(keys)))
+        mapping = location_pairs(raw_mapping)
+        owners = None
+    else:
+        roster = materialize(roster_daily(t.roster), ["EmpCode"])
+        mapping = materialize(location_pairs(t.mapping), ["EmployeeCode"])
+        driving = materialize(driving_set(t, n, roster=roster), ["EmpCode"])
+        owners = driving_keys(driving, n)
+        roster = restrict_owners(roster, "EmpCode", owners)
+        mapping = restrict_owners(mapping, "EmployeeCode", owners)
+        raw_mapping = t.mapping
 
     if v.flags == "global":
-        doc = attach_global_flags(driving, pairs, t.locations)
+        doc = attach_global_flags(driving, location_pairs(t.mapping), t.locations)
     else:
         doc = attach_flags(driving, access_flags(mapping, t.locations), "EmpCode")
 
     doc = attach(doc, shift_elements(t, v, roster, weight="_rows"), "EmpCode", "EmpCode",
                  ["ShiftDetails"])
-    doc = attach(doc, location_elements(t, v, mapping, intervals=t.mapping, owners=keys),
+    doc = attach(doc, location_elements(t, v, mapping, intervals=raw_mapping, owners=owners),
                  "EmpCode", "EmployeeCode", ["LocationDetails"])
     doc = attach(doc, allow_list(t.ip_ranges, mapping, t.locations), "EmpCode", "EmployeeCode",
                  ["IPRange"])

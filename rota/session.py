@@ -22,6 +22,11 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Joins on (owner, x) may reuse a partitioning on owner alone: the report
+    # materialises its reduced inputs partitioned by owner once.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
 }
 
 
@@ -41,19 +46,27 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared checkpoint folder of the session.
 
-    Only when the session names none (tests, local runs) a fresh local folder
-    is created and registered; on a cluster the configured shared folder is
-    always used as is.
+    Uses the folder the context already has (``spark.checkpoint.dir`` at
+    startup, or ``setCheckpointDir``), else the ``spark.checkpoint.dir``
+    setting. Only a local-mode session without any setting (tests, local runs)
+    gets a fresh local folder; a cluster session without one is an error,
+    because a machine-local folder does not survive executor loss.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
+        "spark.checkpoint.dir", None)
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
+        sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     local = tempfile.mkdtemp(prefix="rota-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
+    sc.setCheckpointDir(local)
     return local
 
 
@@ -61,3 +74,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
+    """Hash-partition ``df`` by ``keys`` and write it to the checkpoint folder.
+
+    The result is read, not recomputed, by every plan that uses it, and it
+    keeps its hash partitioning: later group-bys, windows and joins whose keys
+    include ``keys`` need no further shuffle. Eager: runs one job now.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The checkpoint records the plan's output partitioning only when the
+    # plan is not adaptive; the write itself is a plain scan-reduce-shuffle.
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(df.repartition(n, *keys))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)

@@ -1,0 +1,19 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+from rota.session import build_session, checkpoint_dir  # noqa: E402
+
+SF_SMALL = "/root/testdata/sf0.001"
+SF_ORACLE = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = build_session("local[*]", 8, app_name="rota-tests")
+    checkpoint_dir(session)
+    yield session
+    session.stop()

@@ -1,0 +1,182 @@
+"""Reports and their parts on a hand-written fixture (edge cases of the
+document rules), plus cross-variant checks."""
+
+import datetime as dt
+import json
+
+import pytest
+
+from rota.operators import access
+from rota.plans.reports import employee_report
+from rota.sources.roles import RosterTables
+from tests.helpers import day, frame, rowset
+
+EMP = ("ed_empcode string, ed_Salutation string, ed_firstname string, ed_MiddleName string, "
+       "ed_lastname string, ed_empid bigint, ED_Status int")
+ROSTER = ("EmpCode string, ShiftID int, Date date, AttMode string, DiffIN int, DiffOUT int, "
+          "TotalworkedMinutes int, RegIN string, RegOut string, PreTime int, PostTime int, "
+          "FromMin int, ToMin int")
+SHIFTS = ("ShiftId int, ShiftName string, InTime string, OutTime string, TotalMinutes int, "
+          "SwipesSeperatorParam string, ISWorkBtwnShifttime boolean, IsBreakApplicable boolean, "
+          "IsNightShiftApplicable boolean, IsActive boolean, AutoShift string, ShiftAllowance boolean")
+BREAKS = "ShiftId int, BreakInTime string, BreakOutTime string, TotalBreakMinutes int, Applicable boolean"
+MAPPING = ("EmployeeCode string, LocationID int, georange int, rangeinkm int, FromDate date, "
+           "ToDate date, PunchIn boolean, PunchOut boolean")
+LOCS = ("ID int, Latitude int, Longitude int, LocationAlias string, IPCheckEnabled boolean, "
+        "LocationCheckEnabled boolean, IPCheckEnabledOnMobile boolean")
+IPS = "GeoConfigurationID int, IPFrom string, IPTo string"
+RULES = ("ShiftID int, RuleItemValue string, Org6 string, RuleRelatedTo string, "
+         "RuleConfigAttrItemName string, RuleEndDate date")
+
+
+def r(emp, shift, d, mode="m"):
+    return (emp, shift, day(d), mode, 5, 1, 480, "08:00:00", None, 10, 20, 0, None)
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    employees = frame(spark, [
+        ("A", None, "Ann", None, "X", 1, 1),
+        ("B", None, "Bob", None, "Y", 2, 1),      # no mapping
+        ("C", None, "Cid", None, "Z", 3, 1),      # no roster
+        ("D", None, "Dee", None, "W", 4, 99),     # unknown status
+    ], EMP)
+    status = frame(spark, [(1, "Active")], "ESM_EmpStatusID int, ESM_EmpStatusDesc string")
+    roster = frame(spark, [
+        r("A", 1, 1), r("A", 1, 2), r("A", 1, 3), r("A", 2, 2),
+        r("A", None, 5), r("A", 9, 6), r("A", 3, 7),
+        r("B", 1, 1), r("D", 1, 1),
+    ], ROSTER)
+    shifts = frame(spark, [
+        (1, 'Day "A"', "08:00:00", "16:00:00", 480, "1", True, True, False, True, "N", False),
+        (1, "Day B", "07:00:00", "17:00:00", 600, "2", False, True, False, True, "N", True),
+        (2, "Late", "14:00:00", "22:00:00", 480, "1", True, False, False, True, "Y", False),
+        (3, "Night", "22:00:00", "06:00:00", 480, "1", True, False, True, True, "N", False),
+    ], SHIFTS)
+    breaks = frame(spark, [
+        (1, "12:00:00", "12:30:00", 30, True),
+        (2, "18:00:00", "18:15:00", 15, True),
+        (2, "19:00:00", "19:30:00", 30, False),
+    ], BREAKS)
+    mapping = frame(spark, [
+        ("A", 10, 100, 2, day(1), day(5), True, False),
+        ("A", 11, 200, 3, day(3), day(3), False, False),
+        ("A", 10, 150, 4, day(20), day(21), False, False),
+        ("A", 12, 300, 1, day(30), day(31), False, True),   # no master row
+    ], MAPPING)
+    locations = frame(spark, [
+        (10, 12, 77, "North", True, False, False),
+        (11, 13, 78, "South", False, True, False),
+    ], LOCS)
+    ips = frame(spark, [
+        (10, "1.1.1.1", "1.1.1.9"),
+        (11, "2.2.2.2", "2.2.2.2"), (11, "2.2.2.2", "2.2.2.2"),
+        (12, "3.3.3.3", "3.3.3.3"),
+    ], IPS)
+    rules = frame(spark, [
+        (1, "15", "23215", "Shift Properties", "Pre Time Minutes", None),
+        (1, "10", "23215", "Shift Properties", "Pre Time Minutes", None),
+        (1, "99", "23215", "Shift Properties", "Post Time", dt.date(2020, 1, 1)),
+        (2, "77", "1", "Shift Properties", "Pre Time Minutes", None),
+    ], RULES)
+    return RosterTables(employees, status, roster, shifts, breaks, mapping, locations, ips, rules)
+
+
+def docs(tables, variant, top_n=None):
+    return {row.EmpCode: row.asDict() for row in
+            employee_report(tables, variant, top_n=top_n).collect()}
+
+
+def test_driving_set_rules(tables):
+    out = docs(tables, "v3")
+    assert sorted(out) == ["A", "B"]          # C: no roster, D: unknown status
+
+
+def test_flags_default_false_and_ignore_unmastered_locations(tables):
+    out = docs(tables, "v3")
+    a, b = out["A"], out["B"]
+    assert (a["IPCheckEnabled"], a["LocationCheckEnabled"], a["IPCheckEnabledOnMobile"],
+            a["PunchIn"], a["PunchOut"]) == ("true", "true", "false", "true", "false")
+    assert all(b[f] == "false" for f in ("IPCheckEnabled", "LocationCheckEnabled",
+                                         "IPCheckEnabledOnMobile", "PunchIn", "PunchOut"))
+    assert b["LocationDetails"] is None and b["IPRange"] is None
+
+
+def test_global_flags_v1(tables):
+    out = docs(tables, "v1")
+    assert out["B"]["IPCheckEnabled"] == "true" and out["B"]["PunchIn"] == "true"
+
+
+def test_nested_shift_elements_v3(tables):
+    shifts = json.loads(docs(tables, "v3")["A"]["ShiftDetails"])
+    assert shifts[0] == {}                                     # NULL shift
+    by_id = {s["ShiftID"]: s for s in shifts[1:]}
+    assert by_id[9] == {"ShiftID": 9}                          # no master row
+    one = by_id[1]["ShiftDetails"]
+    assert one["ShiftName"] == 'Day "A"' and one["TotalMinutes"] == 600
+    assert one["ISWorkBtwnShifttime"] == 0 and one["IsBreakApplicable"] == 1
+    assert one["ShiftStart"] == "2024-01-01" and one["ShiftEnd"] == "2024-01-03"
+    assert one["ShiftRanges"] == [{"RangeStart": "2024-01-01", "RangeEnd": "2024-01-01"},
+                                  {"RangeStart": "2024-01-03", "RangeEnd": "2024-01-03"}]
+    assert "RegOut" not in one and "ToMin" not in one          # NULL members left out
+    assert by_id[2]["ShiftDetails"]["BreakOutTime"] == "19:30:00"
+    assert by_id[2]["ShiftDetails"]["TotalBreakMinutes"] == 30
+    assert "BreakInTime" not in by_id[3]["ShiftDetails"]       # left join, no break
+
+
+def test_text_details_parse_to_nested(tables):
+    v2 = json.loads(docs(tables, "v2")["A"]["ShiftDetails"])
+    v3 = json.loads(docs(tables, "v3")["A"]["ShiftDetails"])
+    parsed = [{**e, "ShiftDetails": json.loads(e["ShiftDetails"])} if "ShiftDetails" in e else e
+              for e in v2]
+    assert parsed == v3
+    assert isinstance(v2[1]["ShiftDetails"], str)
+
+
+def test_flat_v1_inner_breaks_and_change_blocks(tables):
+    shifts = json.loads(docs(tables, "v1")["A"]["ShiftDetails"])
+    assert [s["ShiftID"] for s in shifts] == [1, 2]           # 3: no break, 9: no master
+    assert (shifts[0]["ShiftStart"], shifts[0]["ShiftEnd"]) == ("2024-01-01", "2024-01-05")
+    assert (shifts[1]["ShiftStart"], shifts[1]["ShiftEnd"]) == ("2024-01-02", "2024-01-03")
+
+
+def test_rule_lookup_v4(tables):
+    shifts = json.loads(docs(tables, "v4")["A"]["ShiftDetails"])
+    one = json.loads({s.get("ShiftID"): s for s in shifts}[1]["ShiftDetails"])
+    assert one["PreTime"] == "10" and "PostTime" not in one    # tie -> smallest; closed -> NULL
+    assert "ShiftStart" not in one
+    lookup = rowset(access.rule_lookup(tables.rules))
+    assert lookup == [(1, "10", None)]
+
+
+def test_location_summary_and_allow_list(tables):
+    a = docs(tables, "v3")["A"]
+    locs = json.loads(a["LocationDetails"])
+    assert [l["LocationID"] for l in locs] == [10, 11]
+    assert locs[0]["FromDate"] == "2024-01-01" and locs[0]["ToDate"] == "2024-01-05"
+    assert locs[0]["georange"] == 100 and locs[0]["rangeinkm"] == 4
+    assert json.loads(a["IPRange"]) == [
+        {"IPFrom": "1.1.1.1", "IPTo": "1.1.1.9"},
+        {"IPFrom": "2.2.2.2", "IPTo": "2.2.2.2"}, {"IPFrom": "2.2.2.2", "IPTo": "2.2.2.2"}]
+
+
+def test_v5_location_ranges(tables):
+    a = docs(tables, "v5")["A"]
+    locs = json.loads(a["LocationDetails"])
+    assert locs[2] == {"LocationID": 12}
+    ten = locs[0]["LocationDetails"]
+    assert ten["DateRanges"] == [
+        {"RangeStart": "2024-01-01", "RangeEnd": "2024-01-02"},
+        {"RangeStart": "2024-01-04", "RangeEnd": "2024-01-05"},
+        {"RangeStart": "2024-01-20", "RangeEnd": "2024-01-21"}]
+    assert locs[1]["LocationDetails"]["DateRanges"] == [
+        {"RangeStart": "2024-01-03", "RangeEnd": "2024-01-03"}]
+    shifts = json.loads(a["ShiftDetails"])
+    assert all("BreakInTime" not in (s.get("ShiftDetails") or {}) for s in shifts)
+
+
+@pytest.mark.parametrize("variant", ["v1", "v2", "v3", "v4", "v5"])
+def test_top_n_is_a_prefix_of_the_full_report(tables, variant):
+    full = employee_report(tables, variant, top_n=None).collect()
+    top = employee_report(tables, variant, top_n=1).collect()
+    assert [tuple(x) for x in top] == [tuple(x) for x in full[:1]]
