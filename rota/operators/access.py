@@ -84,16 +84,16 @@ def attach_global_flags(driving: DataFrame, mapping: DataFrame, locations: DataF
                         location: str = "LocationID", location_id: str = "ID") -> DataFrame:
     """Attach the one global flag row to every driving row.
 
-    Each flag is a scalar subquery: the aggregate runs once and its value is
-    inlined into the projection, so no join and no pairing of rows happens.
+    The five flags come from one scalar subquery returning a struct: the
+    aggregate runs once and its value is inlined into the projection, so no
+    join and no pairing of rows happens.
     """
     joined = mapped_locations(mapping.select(location, *MAPPING_FLAGS), locations,
                               location=location, location_id=location_id,
                               columns=LOCATION_FLAGS)
     flags = (*LOCATION_FLAGS, *MAPPING_FLAGS)
-    return driving.select(
-        *driving.columns,
-        *[flag_text(joined.agg(bit_or(c)).scalar()).alias(c) for c in flags])
+    row = joined.agg(F.struct(*[bit_or(c).alias(c) for c in flags])).scalar()
+    return driving.select(*driving.columns, *[flag_text(row[c]).alias(c) for c in flags])
 
 
 def owner_location_ids(mapping: DataFrame, locations: DataFrame, owner: str = "EmployeeCode",
