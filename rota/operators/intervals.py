@@ -186,19 +186,107 @@ def restrict_owners(df: DataFrame, owner: Keys, owners: DataFrame | None) -> Dat
 
 def resolved_ranges(df: DataFrame, owner: Keys, start: str, end: str, candidate: str,
                     day: str = "SingleDate", range_start: str = "RangeStart",
-                    range_end: str = "RangeEnd", owners: DataFrame | None = None) -> DataFrame:
+                    range_end: str = "RangeEnd", owners: DataFrame | None = None,
+                    method: str = "days") -> DataFrame:
     """Overlap-free date ranges per (owner, candidate): each day goes to the
     highest covering candidate, then each candidate's days collapse to maximal
     runs. Result: (owner..., candidate, range_start, range_end). ``owners``
-    restricts the result to those owner keys (applied to the resolved days,
-    i.e. after the map-side reduction)."""
+    restricts the result to those owner keys (applied after the map-side
+    reduction).
+
+    ``method='days'`` expands every interval to its days (rows = interval
+    days); ``method='segments'`` never materialises days (rows grow with the
+    number of intervals times log(length)), see ``resolved_segments``. Both
+    give the same result.
+    """
     keys = _keys(owner)
+    if method == "segments":
+        return resolved_segments(df, keys, start, end, candidate, range_start, range_end,
+                                 owners)
+    if method != "days":
+        raise ValueError("method must be 'days' or 'segments'")
     won = restrict_owners(resolve_overlaps(df, keys, start, end, candidate, day=day),
                           keys, owners)
     return islands(won.where(F.col(candidate).isNotNull()), [*keys, candidate], day,
                    start=range_start, end=range_end, unique=True)
 
 
+# Day numbers count from the first representable date, so they are never
+# negative and a right shift is a floor division. 2**23 days cover every DATE.
+_DAY_ZERO = "0001-01-01"
+_LEVELS = 23
+
+
+def _day_number(col: str):
+    return F.datediff(F.col(col), F.to_date(F.lit(_DAY_ZERO)))
+
+
+def _dyadic_blocks(a: str, b: str):
+    """The canonical cover of the day numbers [a, b] by aligned blocks
+    (level j, index k) = [k * 2**j, (k + 1) * 2**j - 1]: at most two blocks per
+    level, disjoint, union exactly [a, b]. A static array expression."""
+    lo = lambda j: F.shiftright(F.col(a) + (2 ** j - 1), j)      # noqa: E731
+    hi = lambda j: F.shiftright(F.col(b) + 1, j) - 1               # noqa: E731
+    elems = []
+    for j in range(_LEVELS):
+        parent_empty = lo(j + 1) > hi(j + 1)
+        take_lo = (lo(j) <= hi(j)) & (parent_empty | (lo(j) < lo(j + 1) * 2))
+        take_hi = (hi(j) > lo(j)) & (parent_empty | (hi(j) > hi(j + 1) * 2 + 1))
+        elems.append(F.when(take_lo, F.struct(F.lit(j).alias("j"), lo(j).alias("k"))))
+        elems.append(F.when(take_hi, F.struct(F.lit(j).alias("j"), hi(j).alias("k"))))
+    return F.filter(F.array(*elems), lambda e: e.isNotNull())
+
+
+def resolved_segments(df: DataFrame, owner: Keys, start: str, end: str, candidate: str,
+                      range_start: str = "RangeStart", range_end: str = "RangeEnd",
+                      owners: DataFrame | None = None) -> DataFrame:
+    """``resolved_ranges`` without expanding days.
+
+    1. Each interval is covered by at most 46 aligned power-of-two day blocks;
+       the highest candidate per (owner, level, block) is a partial aggregate.
+    2. The distinct interval edges of an owner (start, end + 1) cut its time
+       line into segments; no interval starts or ends inside a segment, so one
+       candidate wins all of it.
+    3. The winner of a segment is the highest block value over the blocks that
+       contain its first day: one equi-join on (owner, level, block) per level.
+       The keys include the block, so a hot owner is spread over many tasks.
+    4. Adjacent segments with the same winner merge (a window per owner and
+       candidate over segments, bounded by the owner's distinct edge dates).
+    """
+    keys = _keys(owner)
+    iv = (df.select(*keys, candidate, _day_number(start).alias("_a"),
+                    _day_number(end).alias("_b"))
+          .where((F.col("_b") >= F.col("_a")) & F.col(candidate).isNotNull()))
+    blocks = (iv.select(*keys, candidate, F.explode(_dyadic_blocks("_a", "_b")).alias("_blk"))
+              .select(*keys, candidate, F.col("_blk.j").alias("_j"), F.col("_blk.k").alias("_k"))
+              .groupBy(*keys, "_j", "_k").agg(F.max(candidate).alias("_m")))
+    edges = (iv.select(*keys, F.explode(F.array(F.col("_a"), F.col("_b") + 1)).alias("_p"))
+             .distinct())
+    w = Window.partitionBy(*keys).orderBy("_p")
+    segments = (edges.select(*keys, F.col("_p").alias("_s"),
+                             (F.lead("_p").over(w) - 1).alias("_e"))
+                .where(F.col("_e").isNotNull()))
+    segments = restrict_owners(segments, keys, owners)
+    probes = segments.select(
+        *keys, "_s", "_e",
+        F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.shiftright("_s", j).alias("k"))
+                            for j in range(_LEVELS)])).alias("_probe"))
+    probes = probes.select(*keys, "_s", "_e", F.col("_probe.j").alias("_j"),
+                           F.col("_probe.k").alias("_k"))
+    won = (probes.join(blocks, [*keys, "_j", "_k"], "inner")
+           .groupBy(*keys, "_s", "_e").agg(F.max("_m").alias(candidate)))
+    w2 = Window.partitionBy(*keys, candidate).orderBy("_s")
+    prev_e = F.lag("_e").over(w2)
+    new_run = F.when(prev_e.isNull() | (F.col("_s") > prev_e + 1), 1).otherwise(0)
+    runs = won.withColumn("_new", new_run).withColumn(
+        "_run", F.sum("_new").over(w2.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    zero = F.to_date(F.lit(_DAY_ZERO))
+    return (runs.groupBy(*keys, candidate, "_run")
+            .agg(F.min("_s").alias("_rs"), F.max("_e").alias("_re"))
+            .select(*keys, candidate, F.date_add(zero, F.col("_rs")).alias(range_start),
+                    F.date_add(zero, F.col("_re")).alias(range_end)))
+
+
 def daily_ranges(df: DataFrame, owner: Keys, day: str, candidate: str,
                  range_start: str = "RangeStart", range_end: str = "RangeEnd") -> DataFrame:
     """Dated assignments -> one candidate per (owner, day) -> ranges per

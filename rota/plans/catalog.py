@@ -91,6 +91,11 @@ def location_ranges(t: RosterTables) -> DataFrame:
                                      "LocationID")
 
 
+def location_ranges_segments(t: RosterTables) -> DataFrame:
+    return intervals.resolved_ranges(t.mapping, "EmployeeCode", "FromDate", "ToDate",
+                                     "LocationID", method="segments")
+
+
 def access_flags(t: RosterTables) -> DataFrame:
     emp = t.employees.select(F.col("ed_empcode").alias("EmpCode"))
     return access.attach_flags(emp, access.access_flags(t.mapping, t.locations), "EmpCode")
@@ -147,6 +152,7 @@ def queries() -> dict[str, Query]:
         "expand_days": _q(expand_days),
         "resolve_overlaps": _q(resolve_overlaps),
         "location_ranges": _q(location_ranges),
+        "location_ranges_segments": _q(location_ranges_segments),
         "access_flags": _q(access_flags),
         "access_flags_global": _q(access_flags_global),
         "rule_lookup": _q(rule_lookup),

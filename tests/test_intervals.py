@@ -166,6 +166,27 @@ def test_resolved_ranges_match_brute_force(spark):
     assert back == won
 
 
+def test_segment_form_matches_brute_force_and_long_intervals(spark):
+    rnd = random.Random(17)
+    rows = []
+    for o in range(50):
+        for _ in range(rnd.randrange(1, 7)):
+            a = day(rnd.randrange(1, 60)) if rnd.random() > 0.1 else dt.date(1899, 12, 30)
+            b = a + dt.timedelta(days=rnd.randrange(-2, 30))
+            rows.append((f"O{o}", rnd.choice([None, 1, 2, 3, 4]), a,
+                         b if rnd.random() > 0.05 else None))
+    df = frame(spark, rows, MAP)
+    got = rowset(iv.resolved_ranges(df, "EmployeeCode", "FromDate", "ToDate", "LocationID",
+                                    method="segments"))
+    assert got == brute_resolved_ranges(rows)
+    # open-ended assignment to the last representable day: no day expansion
+    far = frame(spark, [("A", 1, day(1), dt.date(9999, 12, 31)), ("A", 2, day(10), day(12))], MAP)
+    got = rowset(iv.resolved_ranges(far, "EmployeeCode", "FromDate", "ToDate", "LocationID",
+                                    method="segments"))
+    assert got == [("A", 1, day(1), day(9)), ("A", 1, day(13), dt.date(9999, 12, 31)),
+                   ("A", 2, day(10), day(12))]
+
+
 def test_restrict_owners(spark):
     rows = [("A", 1, day(1), day(2)), ("B", 1, day(1), day(2))]
     owners = frame(spark, [("B",)], "k string")
