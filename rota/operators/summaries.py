@@ -145,7 +145,7 @@ def location_details(mapping: DataFrame, locations: DataFrame, owner: str = "Emp
                      location: str = "LocationID", location_id: str = "ID",
                      start: str = "FromDate", end: str = "ToDate",
                      intervals: DataFrame | None = None,
-                     owners: DataFrame | None = None) -> DataFrame:
+                     owners: DataFrame | None = None, method: str = "days") -> DataFrame:
     """Per (owner, location) with a master row: MIN georange, MAX rangeinkm,
     MIN coordinates, MIN alias and ``DateRanges`` - the overlap-resolved date
     ranges the location wins (absent when it wins no day).
@@ -153,7 +153,8 @@ def location_details(mapping: DataFrame, locations: DataFrame, owner: str = "Emp
     ``mapping`` may be raw rows or ``location_pairs``; ``intervals`` are the
     raw interval rows to expand (default: ``mapping``). ``owners`` (one column,
     the owner key) restricts the resolved days after their partial
-    aggregation, before the islands are built."""
+    aggregation, before the islands are built. ``method``: see
+    ``resolved_ranges``."""
     joined = mapped_locations(mapping, locations, owner, location, location_id,
                               ("Latitude", "Longitude", "LocationAlias"))
     attrs = joined.groupBy(owner, location).agg(
@@ -164,7 +165,7 @@ def location_details(mapping: DataFrame, locations: DataFrame, owner: str = "Emp
         F.min("LocationAlias").alias("LocationAlias"),
     )
     ranges = (resolved_ranges(intervals if intervals is not None else mapping,
-                              owner, start, end, location, owners=owners)
+                              owner, start, end, location, owners=owners, method=method)
               .groupBy(owner, location)
               .agg(sorted_array("RangeStart", "RangeEnd").alias("DateRanges")))
     return attrs.join(ranges, [owner, location], "left")

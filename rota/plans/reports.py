@@ -83,13 +83,19 @@ def driving_set(t: RosterTables, top_n: int | None = None,
     return emp
 
 
+# A key set is broadcast explicitly only when its row count is bounded by a
+# top-N of at most this many rows (a few MB of keys).
+BROADCAST_KEYS_MAX = 1_000_000
+
+
 def driving_keys(driving: DataFrame, top_n: int | None) -> DataFrame:
-    """The driving employee keys as a one-column frame. With a top-N the set
-    is bounded by N rows, so it is broadcast explicitly; otherwise the join
-    strategy is left to the planner (AQE broadcasts it only when measured
-    below the threshold, else shuffles)."""
+    """The driving employee keys as a one-column frame. With a top-N of at
+    most ``BROADCAST_KEYS_MAX`` the set is bounded, so it is broadcast
+    explicitly; otherwise the join strategy is left to the planner (AQE
+    broadcasts it only when measured below the threshold, else shuffles)."""
     keys = driving.select("EmpCode")
-    return F.broadcast(keys) if top_n is not None else keys
+    bounded = top_n is not None and top_n <= BROADCAST_KEYS_MAX
+    return F.broadcast(keys) if bounded else keys
 
 
 def shift_elements(t: RosterTables, v: Variant, roster: DataFrame,
@@ -123,13 +129,14 @@ def shift_elements(t: RosterTables, v: Variant, roster: DataFrame,
 
 def location_elements(t: RosterTables, v: Variant, mapping: DataFrame,
                       intervals: DataFrame | None = None,
-                      owners: DataFrame | None = None) -> DataFrame:
+                      owners: DataFrame | None = None, ranges_method: str = "days") -> DataFrame:
     """(EmployeeCode, LocationDetails array) for one variant. ``mapping`` may
     be raw rows or ``location_pairs``; v5 expands ``intervals`` (default:
     ``mapping``) restricted to ``owners`` after the daily reduction."""
     if v.location == "summary":
         return location_summary_array(mapping, t.locations)
-    det = location_details(mapping, t.locations, intervals=intervals, owners=owners)
+    det = location_details(mapping, t.locations, intervals=intervals, owners=owners,
+                           method=ranges_method)
     det = det.select("EmployeeCode", "LocationID",
                      detail_object(LOCATION_DETAIL_FIELDS, "nested").alias("LocationDetails"))
     return keyed_elements(mapping, det, "EmployeeCode", "LocationID", "LocationDetails",
@@ -142,12 +149,15 @@ LITERAL_KEYS_MAX = 10_000
 
 
 def employee_report(t: RosterTables, variant: str | Variant = "v3", top_n=_DEFAULT,
-                    output: str = "json", ordered: bool = True) -> DataFrame:
+                    output: str = "json", ordered: bool = True,
+                    ranges_method: str = "days") -> DataFrame:
     """One document row per employee.
 
     ``variant``: 'v1' .. 'v5' or a ``Variant``. ``top_n``: defaults to the
     variant's; ``None`` reports every employee. ``output``: 'json' gives JSON
     text columns, 'struct' keeps arrays/structs (for writing to parquet).
+    ``ranges_method``: how v5 resolves location intervals ('days' or
+    'segments' for long / open-ended intervals; same result).
 
     Two plans:
 
@@ -190,7 +200,8 @@ def employee_report(t: RosterTables, variant: str | Variant = "v3", top_n=_DEFAU
 
     doc = attach(doc, shift_elements(t, v, roster, weight="_rows"), "EmpCode", "EmpCode",
                  ["ShiftDetails"])
-    doc = attach(doc, location_elements(t, v, mapping, intervals=raw_mapping, owners=owners),
+    doc = attach(doc, location_elements(t, v, mapping, intervals=raw_mapping, owners=owners,
+                                        ranges_method=ranges_method),
                  "EmpCode", "EmployeeCode", ["LocationDetails"])
     doc = attach(doc, allow_list(t.ip_ranges, mapping, t.locations), "EmpCode", "EmployeeCode",
                  ["IPRange"])
