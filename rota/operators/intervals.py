@@ -44,11 +44,17 @@ def first_value_daily(df: DataFrame, owner: Keys, day: str, candidate: str,
                       out: str | None = None) -> DataFrame:
     """The window form of ``resolve_daily`` (FIRST_VALUE over a descending
     order, then DISTINCT), kept for parity checks; ``resolve_daily`` is the
-    cheaper plan (partial aggregation instead of a full sort per day)."""
+    cheaper plan (partial aggregation instead of a sort per day).
+
+    The rows are de-duplicated to (owner, day, candidate) first - the DISTINCT
+    result does not change - so a window partition holds one row per distinct
+    candidate of the day, however many raw rows a hot (owner, day) has."""
     owners = _keys(owner)
     w = (Window.partitionBy(*owners, day).orderBy(F.col(candidate).desc_nulls_last())
          .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return (df.select(*owners, day, F.first_value(F.col(candidate)).over(w).alias(out or candidate))
+    distinct_rows = df.select(*owners, day, candidate).distinct()
+    return (distinct_rows
+            .select(*owners, day, F.first_value(F.col(candidate)).over(w).alias(out or candidate))
             .distinct())
 
 
@@ -57,7 +63,9 @@ def island_marks(df: DataFrame, keys: Keys, day: str, change: str = "ShiftChange
     """Row-level island marks, the literal form: ``change`` is 1 on the first
     row of a key and where ``day > prev + 1``, ``group`` is the running sum of
     ``change``. Duplicate days never start an island. Kept for inspection and
-    parity; ``islands`` collapses without materialising the marks."""
+    parity; ``islands`` collapses without materialising the marks. The
+    window partition is the whole key: feed it reduced rows (one per key and
+    day, e.g. ``resolve_daily`` output, as the registered queries do)."""
     ks = _keys(keys)
     w = Window.partitionBy(*ks).orderBy(day)
     prev = F.lag(day).over(w)

@@ -193,3 +193,23 @@ def test_restrict_owners(spark):
     got = rowset(iv.resolved_ranges(frame(spark, rows, MAP), "EmployeeCode", "FromDate",
                                     "ToDate", "LocationID", owners=owners))
     assert got == [("B", 1, day(1), day(2))]
+
+
+def test_hot_key_is_reduced_before_the_window(spark):
+    # One employee owns a third of the rows, many per day: every ordered
+    # operator must give the brute-force result, and the window input for the
+    # hot key is its distinct (shift, day) pairs, not its raw rows.
+    rnd = random.Random(21)
+    rows = [(f"E{rnd.randrange(200)}", rnd.randrange(1, 4), day(rnd.randrange(1, 30)))
+            for _ in range(4000)]
+    rows += [("HOT", rnd.randrange(1, 4), day(rnd.randrange(1, 30))) for _ in range(2000)]
+    df = frame(spark, rows, ROSTER)
+    assert rowset(iv.change_blocks(df, "EmpCode", "Date", "ShiftID")) == brute_change_blocks(
+        [(e, d, s) for e, s, d in rows])
+    got = rowset(iv.islands(df, ["EmpCode", "ShiftID"], "Date"))
+    want = [(k[0], k[1], s, e) for k, s, e in brute_islands([((e, s), d) for e, s, d in rows])]
+    assert got == sorted(want, key=repr)
+    assert rowset(iv.first_value_daily(df, "EmpCode", "Date", "ShiftID")) == rowset(
+        iv.resolve_daily(df, "EmpCode", "Date", "ShiftID"))
+    hot = df.where(F.col("EmpCode") == "HOT")
+    assert hot.select("ShiftID", "Date").distinct().count() <= 3 * 29 < hot.count()
