@@ -44,8 +44,3 @@ def sorted_array(*fields: Column | str) -> Column:
     first), so array order is deterministic. Use inside ``agg``."""
     return F.array_sort(F.collect_list(F.struct(*[_c(f) for f in fields])))
 
-
-def json_array(col: Column | str) -> Column:
-    """JSON text of an array or struct column; NULL fields are left out and a
-    NULL input stays NULL (never ``[]``)."""
-    return F.to_json(_c(col))

@@ -21,11 +21,7 @@ from rota.operators.intervals import resolved_ranges
 # Output fields and their order, as in the shift element.
 ROSTER_FIELDS = ("AttMode", "DiffIN", "DiffOUT", "TotalworkedMinutes", "RegIN", "RegOut",
                  "PreTime", "PostTime", "FromMin", "ToMin")
-MASTER_FIELDS = ("ShiftName", "InTime", "OutTime", "TotalMinutes", "SwipesSeperatorParam",
-                 "ISWorkBtwnShifttime", "IsBreakApplicable", "IsNightShiftApplicable",
-                 "IsActive", "AutoShift", "ShiftAllowance")
 BREAK_FIELDS = ("BreakInTime", "BreakOutTime", "TotalBreakMinutes", "Applicable")
-SPAN_FIELDS = ("ShiftStart", "ShiftEnd")
 LOCATION_FIELDS = ("georange", "rangeinkm", "Latitude", "Longitude", "FromDate", "ToDate",
                    "LocationAlias")
 

@@ -222,3 +222,11 @@ def test_write_documents_round_trip(spark, tables, tmp_path):
     back = spark.read.parquet(str(tmp_path / "docs"))
     assert sorted(r.EmpCode for r in back.collect()) == ["A", "B"]
     assert back.schema["ShiftDetails"].dataType.typeName() == "array"
+
+
+def test_global_flag_row(tables):
+    rows = access.access_flags_global(tables.mapping, tables.locations).collect()
+    assert [tuple(r) for r in rows] == [("true", "true", "false", "true", "false")]
+    empty = tables.mapping.where("false")
+    rows = access.access_flags_global(empty, tables.locations).collect()
+    assert [tuple(r) for r in rows] == [("false",) * 5]       # one row on empty input
