@@ -146,6 +146,9 @@ def location_elements(t: RosterTables, v: Variant, mapping: DataFrame,
 # Above this many keys a top-N report goes the materialised way instead of
 # a literal key filter.
 LITERAL_KEYS_MAX = 10_000
+# Reduced rows of this many employees (their distinct shift-days and
+# locations) share one partition in a top-N report.
+KEYS_PER_PARTITION = 1_000
 
 
 def employee_report(t: RosterTables, variant: str | Variant = "v3", top_n=_DEFAULT,
@@ -181,8 +184,16 @@ def employee_report(t: RosterTables, variant: str | Variant = "v3", top_n=_DEFAU
         driving = spark.createDataFrame(rows, top.schema)
         keys = [r["EmpCode"] for r in rows]
         raw_mapping = t.mapping.where(F.col("EmployeeCode").isin(keys))
+        # Reduced first (many tasks, map-side partial aggregation), then the
+        # small reduced frames move to few partitions - one for up to
+        # KEYS_PER_PARTITION employees, where every later group-by, window
+        # and join runs without another exchange.
+        parts = -(-max(len(keys), 1) // KEYS_PER_PARTITION)
         roster = roster_daily(t.roster.where(F.col("EmpCode").isin(keys)))
         mapping = location_pairs(raw_mapping)
+        roster = roster.repartition(1) if parts == 1 else roster.repartition(parts, "EmpCode")
+        mapping = (mapping.repartition(1) if parts == 1
+                   else mapping.repartition(parts, "EmployeeCode"))
         owners = None
     else:
         roster = materialize(roster_daily(t.roster), ["EmpCode"])
