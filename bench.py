@@ -32,7 +32,8 @@ def main() -> None:
     spark = build_session(f"local[{cpus}]", cpus, app_name="rota-bench")
     qs = queries()
     # JVM / codegen warm-up, not timed.
-    qs["shift_span"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    for name in ("shift_span", "report_v3"):
+        qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
     for name in HEADLINE:
         best = None
