@@ -1,5 +1,7 @@
 """Driver contract: entry(), queries() and oracle_sql() agree with DuckDB."""
 
+import tempfile
+
 import duckdb
 import pytest
 
@@ -30,6 +32,7 @@ def test_every_query_has_an_oracle():
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
+    con.execute(f"SET temp_directory='{tempfile.mkdtemp(prefix='duck-', dir='/tmp')}'")
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     yield con
