@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rota.llm import spans as sp
-from rota.llm.frames import ID, KEY, fresh, keyed, text_key
+from rota.llm.frames import ID, KEY, fresh, keyed, meet, text_key
 from rota.session import cut_lineage
 
 RADIUS = 200
@@ -87,10 +87,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     moves only places."""
     found = cut_lineage(candidates(docs, id_col, text_col))
     more = linked(found, radius)
-    met = found.join(more, (found[KEY] == more[KEY]) & found[ID].eqNullSafe(more[ID]), "left")
     none = F.array().cast(f"array<{sp.SPAN}>")
-    return met.select(found[ID], found[KEY], sp.by_start(found["base"]).alias("base"),
-                      sp.by_start(F.concat(found["base"], F.coalesce("linked", none))).alias("spans"))
+    return meet(found, more).select(
+        ID, KEY, sp.by_start(F.col("base")).alias("base"),
+        sp.by_start(F.concat("base", F.coalesce("linked", none))).alias("spans"))
 
 
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -98,15 +98,12 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` with every reported span replaced by a label; rows without any
     stay as they are. ``chars_col``: a column that holds the text's length and
     follows it."""
+    key, spans = fresh(docs, "_text_key", "_spans")
     hits = (scan_secrets(docs, id_col, text_col).where("size(spans) > 0")
-            .dropDuplicates([ID, KEY]).select(ID, KEY, F.col("spans").alias("_spans")))
-    key, hit = fresh(docs, "_text_key", "_hit")
-    wide = docs.withColumn(key, text_key(text_col))
-    met = wide.join(hits, (wide[key] == hits[KEY]) & wide[id_col].eqNullSafe(hits[ID]), "left")
-    text = sp.redact(wide[text_col], hits["_spans"], LABELS, "[SECRET]")
-    out = met.select(*[text.alias(c) if c == text_col else wide[c] for c in docs.columns],
-                     hits["_spans"].isNotNull().alias(hit))
+            .dropDuplicates([ID, KEY]).select(ID, KEY, F.col("spans").alias(spans)))
+    met = meet(docs.withColumn(key, text_key(text_col)), hits, "left", id_col, key)
+    out = met.withColumn(text_col, sp.redact(F.col(text_col), F.col(spans), LABELS, "[SECRET]"))
     if chars_col:
-        out = out.withColumn(chars_col, F.when(F.col(hit), F.length(text_col).cast(
+        out = out.withColumn(chars_col, F.when(F.col(spans).isNotNull(), F.length(text_col).cast(
             docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
-    return out.drop(hit)
+    return out.drop(key, spans)

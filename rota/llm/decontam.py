@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rota.llm.frames import ID, KEY, fresh, keyed, text_key
+from rota.llm.frames import ID, KEY, fresh, keyed, meet, text_key
 from rota.llm.words import WordHashes, alnum_words, rolling
 
 MIN_TILE = 5
@@ -166,10 +166,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, out: str = "hits",
         found = found.select(ID, KEY, F.explode("_hits").alias("_hit"))
         blocks = found if blocks is None else blocks.unionAll(found)
     per_row = blocks.distinct().groupBy(ID, KEY).agg(F.array_sort(F.collect_list("_hit")).alias("_hits"))
-    (key,) = fresh(docs, "_text_key")
-    wide = docs.withColumn(key, text_key(text_col))
-    met = wide.join(per_row, (wide[key] == per_row[KEY]) & wide[id_col].eqNullSafe(per_row[ID]), "left")
-    return met.select(*docs.columns, F.coalesce("_hits", F.array().cast(HITS)).alias(out))
+    key, hits = fresh(docs, "_text_key", "_hits")
+    met = meet(docs.withColumn(key, text_key(text_col)), per_row.withColumnRenamed("_hits", hits),
+               "left", id_col, key)
+    return met.withColumn(out, F.coalesce(hits, F.array().cast(HITS))).drop(key, hits)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:

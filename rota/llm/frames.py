@@ -22,8 +22,17 @@ def text_key(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def same_row(a: DataFrame, b: DataFrame) -> Column:
-    return (a[KEY] == b[KEY]) & a[ID].eqNullSafe(b[ID])
+def meet(left: DataFrame, right: DataFrame, how: str = "left", id_col: str = ID,
+         key_col: str = KEY, extra=None) -> DataFrame:
+    """Join on (id, text key), null-safe in the id; ``right`` has ``_id`` and ``_key``,
+    which the result leaves out, and columns that ``left`` doesn't have. ``extra``
+    gets the renamed right side and returns a further condition."""
+    rid, rkey = fresh(left, "_right_id", "_right_key")
+    right = right.select(F.col(ID).alias(rid), F.col(KEY).alias(rkey),
+                         *[F.col(c).alias(c) for c in right.columns if c not in (ID, KEY)])
+    same = (F.col(key_col) == F.col(rkey)) & F.col(id_col).eqNullSafe(F.col(rid))
+    met = left.join(right, same if extra is None else same & extra(right), how)
+    return met if how in ("left_semi", "left_anti") else met.drop(rid, rkey)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -41,9 +50,7 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> D
     columns kept; of repeats of one (id, text) a single row stays."""
     (key,) = fresh(docs, "_text_key")
     wide = docs.withColumn(key, text_key(text_col))
-    kept = kept.select(ID, KEY).distinct()
-    found = wide.join(kept, (wide[key] == kept[KEY]) & wide[id_col].eqNullSafe(kept[ID]),
-                      "left_semi")
+    found = meet(wide, kept.select(ID, KEY).distinct(), "left_semi", id_col, key)
     return found.dropDuplicates([id_col, key]).drop(key)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rota.llm import spans as sp
-from rota.llm.frames import ID, KEY, fresh, keyed, text_key
+from rota.llm.frames import ID, KEY, fresh, keyed, meet, text_key
 from rota.session import cut_lineage
 
 CONTEXT = 48          # code points on each side of a mention
@@ -154,23 +154,22 @@ def scan_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             .select(ID, KEY, F.col("s.start").alias("_from"), F.col("s.end").alias("_to")).distinct())
     # A term is shorter than its window, so a base span that covers part of it
     # starts before its end and ends after its start.
-    over = hits.join(base, (hits[KEY] == base[KEY]) & hits[ID].eqNullSafe(base[ID])
-                     & (base["_from"] < hits["end"]) & (base["_to"] > hits["start"]), "left_anti")
+    over = meet(hits, base, "left_anti", extra=lambda r: (
+        (r["_from"] < F.col("end")) & (r["_to"] > F.col("start"))))
     more = over.groupBy(ID, KEY).agg(F.collect_list(F.struct(
         "start", rank.alias("rank"), kind.alias("kind"), "end", F.lit("").alias("value"))).alias("more"))
-    met = found.join(more, (found[KEY] == more[KEY]) & found[ID].eqNullSafe(more[ID]), "left")
     none = F.array().cast(f"array<{sp.SPAN}>")
-    return met.select(found[ID], found[KEY], sp.by_rank(found["base"]).alias("base"),
-                      sp.by_rank(F.concat(found["base"], F.coalesce("more", none))).alias("spans"))
+    return meet(found, more).select(
+        ID, KEY, sp.by_rank(F.col("base")).alias("base"),
+        sp.by_rank(F.concat("base", F.coalesce("more", none))).alias("spans"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with personal data replaced by labels, disclosing terms removed or
     replaced by ``[TERM]``; rows without any stay as they are."""
+    key, spans = fresh(docs, "_text_key", "_spans")
     hits = (scan_private(docs, id_col, text_col).where("size(spans) > 0")
-            .dropDuplicates([ID, KEY]).select(ID, KEY, F.col("spans").alias("_spans")))
-    (key,) = fresh(docs, "_text_key")
-    wide = docs.withColumn(key, text_key(text_col))
-    met = wide.join(hits, (wide[key] == hits[KEY]) & wide[id_col].eqNullSafe(hits[ID]), "left")
-    text = sp.redact(wide[text_col], hits["_spans"], LABELS, "[TERM]")
-    return met.select(*[text.alias(c) if c == text_col else wide[c] for c in docs.columns])
+            .dropDuplicates([ID, KEY]).select(ID, KEY, F.col("spans").alias(spans)))
+    met = meet(docs.withColumn(key, text_key(text_col)), hits, "left", id_col, key)
+    return met.withColumn(text_col, sp.redact(
+        F.col(text_col), F.col(spans), LABELS, "[TERM]")).drop(key, spans)

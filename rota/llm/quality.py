@@ -25,7 +25,7 @@ from rota.llm.words import WordHashes
 
 SAMPLE = 4096        # labelled texts that the model is fitted on, at most
 DIMS = 48
-NEIGHBOURS = 25
+NEIGHBOURS = 9
 THRESHOLD = 0.3
 BLOCK = 256          # documents compared at a time
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rota.llm.frames import ID, KEY
+from rota.llm.frames import meet
 
 # Two private-use characters; the first in a text is read as the second, which
 # no pattern here matches either, so places stay.
@@ -116,12 +116,11 @@ def near(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
     """
     cells = F.sequence(F.floor((F.col("start") - radius) / radius),
                        F.floor((F.col("end") + radius) / radius))
-    a = left.withColumn("_cell", F.explode(cells))
-    b = right.withColumn("_cell", F.floor(F.col("at") / radius))
-    met = a.join(b, (a[KEY] == b[KEY]) & (a["_cell"] == b["_cell"]) & a[ID].eqNullSafe(b[ID])
-                 & (b["at"] >= a["start"] - radius) & (b["at"] <= a["end"] + radius))
-    more = [c for c in right.columns if c not in (ID, KEY, "at")]
-    return met.select(*[a[c] for c in left.columns], *[b[c] for c in more])
+    left = left.withColumn("_cell", F.explode(cells))
+    right = right.withColumn("_right_cell", F.floor(F.col("at") / radius))
+    return meet(left, right, "inner", extra=lambda r: (
+        (F.col("_cell") == F.col("_right_cell")) & (F.col("at") >= F.col("start") - radius)
+        & (F.col("at") <= F.col("end") + radius))).drop("_cell", "_right_cell", "at")
 
 
 def redact(text: Column, spans: Column, labels: dict[str, str], other: str) -> Column:
