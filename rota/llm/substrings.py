@@ -38,7 +38,7 @@ BUCKETS_PER_PARTITION = 4
 NO_ID = (1 << 63) - 1   # stands for a NULL id: larger than every id
 
 _SENT = "bucket int, ids binary, hashes binary"
-_ANSWER = "id long, hashes binary"
+_ANSWER = "id long, tag long"
 
 
 def _window_keys(words: list[bytes], cache: WordHashes, width: int,
@@ -55,7 +55,7 @@ def _window_keys(words: list[bytes], cache: WordHashes, width: int,
     return np.concatenate(at), np.concatenate(low)
 
 
-def _pack(ids: np.ndarray, hashes: np.ndarray) -> tuple[bytes, bytes]:
+def _pack(ids: np.ndarray, hashes: np.ndarray, size: int = 7) -> tuple[bytes, bytes]:
     """Ids as runs (differences and lengths, compressed), hashes as 7 bytes each."""
     cut = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
     runs = np.diff(np.append(cut, len(ids)))
@@ -63,14 +63,14 @@ def _pack(ids: np.ndarray, hashes: np.ndarray) -> tuple[bytes, bytes]:
     table = np.stack([np.concatenate((heads[:1], np.diff(heads))), runs]).astype("<i8")
     raw = np.ascontiguousarray(table.view(np.uint8).reshape(2, -1, 8).transpose(0, 2, 1))
     return (pa.compress(raw.tobytes(), codec="zstd", asbytes=True),
-            np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7])
+            np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size])
             .tobytes())
 
 
-def _unpack(ids: bytes, hashes: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(hashes) // 7
+def _unpack(ids: bytes, hashes: bytes, size: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    n = len(hashes) // size
     wide = np.zeros((n, 8), np.uint8)
-    wide[:, :7] = np.frombuffer(hashes, np.uint8).reshape(n, 7)
+    wide[:, :size] = np.frombuffer(hashes, np.uint8).reshape(n, size)
     codec = pa.input_stream(pa.py_buffer(ids), compression="zstd")
     raw = np.frombuffer(codec.read(), np.uint8)
     table = np.ascontiguousarray(raw.reshape(2, 8, -1).transpose(0, 2, 1)).view("<i8")[..., 0]
@@ -97,9 +97,10 @@ def _sender(width: int, buckets: int):
             rows = []
             # Ids that a smaller one of this slice already beats: the answer is
             # known here, and travels under bucket -1.
-            late = (d != first)
-            for i, b in _groups(d[late], a[late], h[late]):
-                rows.append((-1, int(i).to_bytes(8, "little", signed=True), b))
+            late = np.flatnonzero(d != first)
+            if len(late):
+                late = late[np.argsort(d[late], kind="stable")]
+                rows.append((-1, *_pack(d[late], _tags(a[late], h[late]), 8)))
             stays = np.zeros(len(at), bool)
             stays[order[head]] = True
             keep = np.flatnonzero(stays)
@@ -130,17 +131,9 @@ def _sender(width: int, buckets: int):
     return send
 
 
-def _groups(ids: np.ndarray, at: np.ndarray, low: np.ndarray):
-    """(id, packed windows) of each id: 4 bytes of bucket and 7 of hash, each."""
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    wide = np.zeros((len(ids), 11), np.uint8)
-    wide[:, :4] = at[order].astype("<u4").view(np.uint8).reshape(-1, 4)
-    wide[:, 4:] = low[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
-    cut = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else []
-    ends = np.append(cut[1:], len(ids)) if len(ids) else []
-    for lo, hi in zip(cut, ends):
-        yield ids[lo], wide[lo:hi].tobytes()
+def _tags(at: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """One number for a window, to find it again among those of its document."""
+    return low << np.uint64(8) | at.astype(np.uint64) & np.uint64(255)
 
 
 def _answer(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -153,40 +146,28 @@ def _answer(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     head = np.concatenate(([True], low[1:] != low[:-1]))
     first = ids[np.maximum.accumulate(np.where(head, np.arange(len(ids)), 0))]
     late = ids != first
-    found = list(_groups(ids[late], np.full(int(late.sum()), key[0], np.uint32), low[late]))
-    return pd.DataFrame({"id": [int(i) for i, _ in found], "hashes": [b for _, b in found]})
+    tags = _tags(np.full(int(late.sum()), key[0], np.uint32), low[late])
+    return pd.DataFrame({"id": ids[late], "tag": tags.view(np.int64)})
 
 
 def _clean_words(text: bytes | None, answers, cache: WordHashes, width: int,
                  buckets: int) -> tuple[list[bytes], int]:
     """(kept words, number of words) after the answered windows are dropped."""
     words = split_words(text)
-    if not answers:
-        return words, len(words)
-    raw = np.frombuffer(b"".join(answers), np.uint8).reshape(-1, 11)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :7] = raw[:, 4:]
-    drop = np.zeros(len(raw), [("b", "<u4"), ("h", "<u8")])
-    drop["b"], drop["h"] = np.ascontiguousarray(raw[:, :4]).view("<u4")[:, 0], wide.view("<u8")[:, 0]
-    at, low = _window_keys(words, cache, width, buckets)
-    mine = np.zeros(len(at), drop.dtype)
-    mine["b"], mine["h"] = at, low
-    # Membership by the hash first, then the bucket of those that remain.
-    hit = np.flatnonzero(np.isin(low, drop["h"]))
-    listed = set(map(tuple, drop[np.isin(drop["h"], low[hit])].tolist()))
-    starts = [int(i) for i in hit if (int(at[i]), int(low[i])) in listed]
-    if not starts:
+    if answers is None:
         return words, len(words)
+    starts = np.flatnonzero(np.isin(_tags(*_window_keys(words, cache, width, buckets)),
+                                    answers.view(np.uint64)))
     edge = np.zeros(len(words) + 1, np.int64)
     np.add.at(edge, starts, 1)
-    np.add.at(edge, np.array(starts) + width, -1)
+    np.add.at(edge, starts + width, -1)
     gone = np.cumsum(edge[:-1]) > 0
     return [w for w, g in zip(words, gone.tolist()) if not g], len(words)
 
 
 def removal_answers(docs: DataFrame, id_col: str, text_col: str, width: int,
                     buckets: int) -> DataFrame:
-    """(id, windows) to drop, packed; NULL ids under ``NO_ID``."""
+    """(id, tag) of every window to drop; NULL ids under ``NO_ID``."""
     sent = (docs.select(F.col(id_col).cast("long").alias("id"),
                         F.col(text_col).cast("binary").alias("t"))
             .mapInArrow(_sender(width, buckets), _SENT))
@@ -200,10 +181,8 @@ def removal_answers(docs: DataFrame, id_col: str, text_col: str, width: int,
         done = group["bucket"].to_numpy() < 0
         out = []
         if done.any():
-            own = group[done]
-            out.append(pd.DataFrame({
-                "id": [int.from_bytes(x, "little", signed=True) for x in own["ids"]],
-                "hashes": list(own["hashes"])}))
+            known = [_unpack(i, h, 8) for i, h in zip(group["ids"][done], group["hashes"][done])]
+            out += [pd.DataFrame({"id": i, "tag": t.view(np.int64)}) for i, t in known]
         if not done.all():
             out.append(_answer(key, group[~done]))
         return pd.concat(out)
@@ -221,7 +200,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = BUCKETS_PER_PARTITION * parts
     answers = (removal_answers(docs, id_col, text_col, width, buckets)
-               .groupBy("id").agg(F.collect_list("hashes").alias("answers")))
+               .groupBy("id").agg(F.collect_list("tag").alias("answers")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("own"),
                        F.col(text_col).cast("binary").alias("t"))
@@ -232,8 +211,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                done = [_clean_words(t, a, cache, width, buckets) for t, a in
-                        zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                lists = (a.values.to_numpy() if a.is_valid else None for a in part.column(2))
+                done = [_clean_words(t, a, cache, width, buckets)
+                        for t, a in zip(part.column(1).to_pylist(), lists)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([n for _, n in done], pa.int64()),
                      pa.array([n - len(k) for k, n in done], pa.int64()),
