@@ -4,8 +4,9 @@ A code is cut into chunks of at most 16 bits and indexed under the value of
 each. If two codes differ in fewer than m(s + 1) bits, with m chunks, then some
 chunk of theirs differs in at most s bits. So a query probes all values within
 s bits of its own, chunk by chunk, for s = 0, 1, 2, ...; after round s every code
-closer than m(s + 1) has been seen, and the query is done when its k-th verified
-distance is below that. Queries that are done leave; the others go on.
+closer than m(s + 1) has been seen. In the next round c chunks are enough to see
+every code closer than m(s + 1) + c, so a query probes only as many as reach its
+k-th verified distance, and is done then. Queries that are done leave.
 """
 
 from __future__ import annotations
@@ -58,9 +59,9 @@ def _masks(bits: int, s: int) -> list[int]:
     return [sum(1 << i for i in c) for c in combinations(range(bits), s)]
 
 
-def distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))),
-                       F.lit(0), lambda acc, x: acc + x)
+def distance(a: Column, b: Column, dims: int) -> Column:
+    words = range(1, -(-dims // 64) + 1)
+    return sum((F.bit_count(F.element_at(a, w).bitwiseXOR(F.element_at(b, w))) for w in words), F.lit(0))
 
 
 def top_k(queries: DataFrame, base: DataFrame, k: int, dims: int) -> DataFrame:
@@ -85,22 +86,27 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, dims: int) -> DataFrame:
         .select("code", "low", "c.chunk", "c.value"))
     enough = min(k, base.count())
     wanted = queries.select(F.col("id").alias("query_id"), F.col("code").alias("query")).distinct()
-    open_ = cut_lineage(wanted)
+    open_ = cut_lineage(wanted.withColumn("need", F.lit(m))   # chunks to probe next
+                        .withColumn("bound", F.lit(dims)))     # no farther row can count
     best = None
     for s in range(CHUNK + 1):
         value = F.col("c.value")
-        probes = open_.select("query_id", "query", F.explode(
-            _chunk_values(F.col("query"), chunks)).alias("c"))
-        masks = F.lit(None)
-        for n, (_, _, bits) in enumerate(chunks):
-            masks = F.when(F.col("c.chunk") == n, F.array(*map(F.lit, _masks(bits, s)))
-                           .cast("array<int>")).otherwise(masks)
+        probes = open_.select("query_id", "query", "bound", F.explode(F.slice(
+            _chunk_values(F.col("query"), chunks), 1, F.col("need"))).alias("c"))
+        masks = F.lit(None).cast("array<int>")
+        for width in {bits for _, _, bits in chunks}:
+            listed = F.split(F.lit(",".join(map(str, _masks(width, s)))), ",")
+            if s <= width:
+                of_width = F.col("c.chunk").isin([n for n, c in enumerate(chunks) if c[2] == width])
+                masks = F.when(of_width, listed.cast("array<int>")).otherwise(masks)
         probes = (probes.withColumn("mask", F.explode(masks))
-                  .select("query_id", "query", F.col("c.chunk").alias("chunk"),
-                          value.bitwiseXOR(F.col("mask")).alias("value")))
-        found = (probes.join(entries, ["chunk", "value"])
-                 .select("query_id", "query", "code", "low").distinct()
-                 .withColumn("distance", distance(F.col("query"), F.col("code"))))
+                  .select("query_id", "query", "bound", F.col("c.chunk").alias("in_chunk"),
+                          value.bitwiseXOR(F.col("mask")).alias("probe")))
+        # Verified in the join: what lies beyond the k-th distance so far goes no further.
+        apart = distance(F.col("query"), F.col("code"), dims)
+        found = (probes.join(entries, (F.col("in_chunk") == F.col("chunk"))
+                             & (F.col("probe") == F.col("value")) & (apart <= F.col("bound")))
+                 .select("query_id", "query", "code", "low", apart.alias("distance")).distinct())
         if best is not None:
             found = found.unionByName(best.join(open_, ["query_id", "query"], "left_semi")
                                       .select(*found.columns)).distinct()
@@ -111,12 +117,21 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, dims: int) -> DataFrame:
                  .drop("near"))
         settled = None if best is None else best.join(open_, ["query_id", "query"], "left_anti")
         best = cut_lineage(found if settled is None else found.unionByName(settled))
-        seen = best.join(members, "code").select(
-            "query_id", "query", "distance", F.size("ids").alias("n"))
-        covered = m * (s + 1) - 1
-        done = (seen.where(F.col("distance") <= covered).groupBy("query_id", "query")
-                .agg(F.sum("n").alias("n")).where(F.col("n") >= enough))
-        open_ = cut_lineage(open_.join(done, ["query_id", "query"], "left_anti"))
+        so_far = Window.partitionBy("query_id", "query").orderBy("distance")
+        reached = (best.join(members, "code")
+                   .withColumn("rows", F.sum(F.size("ids")).over(so_far))
+                   .where(F.col("rows") >= enough)
+                   .groupBy(F.col("query_id").alias("qid"), F.col("query").alias("qcode"))
+                   .agg(F.min("distance").alias("kth")))
+        # Where fewer than m chunks were probed, they reached the k-th distance.
+        covered = F.lit(m * (s + 1) - 1)
+        left = F.least(F.coalesce(F.col("kth") - covered, F.lit(m)), F.lit(m))
+        open_ = cut_lineage(
+            open_.join(reached, F.col("query_id").eqNullSafe(F.col("qid"))
+                       & (F.col("query") == F.col("qcode")), "left")
+            .where((F.col("need") == m) & (left > 0))
+            .select("query_id", "query", left.cast("int").alias("need"),
+                    F.coalesce("kth", F.lit(dims)).alias("bound")))
         if open_.isEmpty():
             break
     rows = (best.join(members, "code")
