@@ -25,7 +25,6 @@ CONTEXT = 48          # code points on each side of a mention
 SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.9
 SHORTEST = 4          # letters of a term
-BROADCAST_TERMS = 200_000
 
 # The base patterns. A search starts where the last match ended
 # or at the start of a run of its first characters, which finds the same
@@ -91,6 +90,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, context: int = CONTE
         (F.substring(text, w["from"].cast("int"), F.when(w["from"] > 0, 1).otherwise(0))
          .rlike(f"^{_LETTERS}$")).alias("cut_first"),
         F.substring(text, (w["to"] + 1).cast("int"), F.lit(1)).rlike(f"^{_LETTERS}$").alias("cut_last"))))
+    rows = cut_lineage(rows.select(ID, KEY, "base", "sides"))   # places and short windows only
     sides = (rows.where("size(base) > 0").select(ID, KEY, F.explode("sides").alias("w"))
              .select(ID, KEY, "w.*").distinct())
     words = sp.mark_matches(sides, F.col("part"), {"w": (_LETTERS, None)}).where("_parts_w is not null")
@@ -118,15 +118,9 @@ def disclosures(docs: DataFrame, found: DataFrame, terms: DataFrame, text_col: s
     entities = (found.select(ID, KEY, F.explode(F.array_distinct(F.transform(
         "base", lambda s: F.concat_ws(":", s["kind"], s["value"])))).alias("entity"))
         .distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")))
-    wanted = joint.select(F.col("term").alias("_w")).distinct()
-    # Words are counted only where a pair needs them. A short list of terms is
-    # checked by size and broadcast; a longer one meets the words in a shuffle.
-    if wanted.count() <= BROADCAST_TERMS:
-        wanted = F.broadcast(wanted)
     words = docs.select(F.explode(F.array_distinct(F.split(
         F.lower(F.coalesce(F.col(text_col), F.lit(""))), _NOT_LETTERS))).alias("term"))
-    words = words.where(F.length("term") >= SHORTEST)
-    counts = (words.join(wanted, words["term"] == F.col("_w"), "left_semi")
+    counts = (words.where(F.length("term") >= SHORTEST)
               .groupBy("term").agg(F.count(F.lit(1)).alias("n_term")))
     total = F.lit(float(max(found.count(), 1)))
     information = F.log2(total / F.col("n_entity"))
@@ -143,7 +137,6 @@ def scan_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     start, and these with the disclosing terms, which overlap none of them.
     Empty arrays where nothing is found, NULL texts included."""
     found, terms = candidates(docs, id_col, text_col)
-    found = cut_lineage(found)
     terms = cut_lineage(terms)
     told = disclosures(docs, found, terms, text_col).where(F.col("disclosure") >= generalise)
     hits = terms.join(told, ["entity", "term"]).groupBy(ID, KEY, "start", "end").agg(

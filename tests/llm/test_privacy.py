@@ -95,12 +95,6 @@ def test_awkward_rows_and_noise(spark):
     assert any("remove" in r[-1] for r in got)
 
 
-def test_unbroadcast_terms_give_the_same(spark, monkeypatch):
-    rows = [r for r in planted() if r[1] is None or len(r[1]) < 2000]
-    monkeypatch.setattr(privacy, "BROADCAST_TERMS", 0)
-    assert result(privacy.scan_private(frame(spark, rows))) == want(rows)
-
-
 def test_sanitised_texts(spark):
     docs = frame(spark, [(1, "mail a@b.co now"), (2, None), (3, "clean"), (4, ""), (5, "ip 10.0.0.1, +1 (017) 555-7713")])
     out = privacy.sanitise(docs)
