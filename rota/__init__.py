@@ -2,7 +2,8 @@
 
 Dated assignments, validity intervals, dimension lookups and access rules
 re-expressed as lazy DataFrame operators. Every operator takes DataFrames and
-returns a DataFrame; no operator triggers an action.
+returns a DataFrame. Operators trigger no action; ``employee_report`` computes its
+shared inputs with checkpoints while it is built.
 """
 
 from rota.session import build_session, checkpoint_dir

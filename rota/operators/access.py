@@ -18,8 +18,7 @@ from rota.functions.columns import bit_or, flag_text, sorted_array
 LOCATION_FLAGS = ("IPCheckEnabled", "LocationCheckEnabled", "IPCheckEnabledOnMobile")
 MAPPING_FLAGS = ("PunchIn", "PunchOut")
 
-# The rule filter and attribute names used for pre/post time.
-RULE_ORG = "23215"
+# The rule group and attribute names used for pre/post time.
 RULE_GROUP = "Shift Properties"
 RULE_ATTRIBUTES = {"PreTime": "Pre Time Minutes", "PostTime": "Post Time"}
 
@@ -127,8 +126,8 @@ def allow_list(ip_ranges: DataFrame, mapping: DataFrame, locations: DataFrame,
             .groupBy(owner).agg(F.flatten(F.transform(by_location, lambda e: e["_ips"])).alias(out)))
 
 
-def rule_lookup(rules: DataFrame, key: str = "ShiftID",
-                attributes: Mapping[str, str] | None = None, org: str = RULE_ORG,
+def rule_lookup(rules: DataFrame, org: str, key: str = "ShiftID",
+                attributes: Mapping[str, str] | None = None,
                 group: str = RULE_GROUP, value: str = "RuleItemValue",
                 org_col: str = "Org6", group_col: str = "RuleRelatedTo",
                 attr_col: str = "RuleConfigAttrItemName",

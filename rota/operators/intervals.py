@@ -17,6 +17,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NullType, TimestampNTZType, TimestampType
 
 from rota.functions.columns import day_sequence
 
@@ -27,6 +28,18 @@ def _keys(keys: Keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
+def as_days(df: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` as DATE: a time of day is dropped at the entry of every
+    operator that steps by days. Other types are an error."""
+    for c in columns:
+        kind = df.schema[c].dataType
+        if isinstance(kind, (TimestampType, TimestampNTZType, NullType)):
+            df = df.withColumn(c, F.col(c).cast("date"))
+        elif not isinstance(kind, DateType):
+            raise TypeError(f"{c} must be a date or timestamp, not {kind.simpleString()}")
+    return df
+
+
 def resolve_daily(df: DataFrame, owner: Keys, day: str, candidate: str,
                   out: str | None = None) -> DataFrame:
     """One candidate per (owner, day): the highest one wins.
@@ -37,7 +50,7 @@ def resolve_daily(df: DataFrame, owner: Keys, day: str, candidate: str,
     the maximum and NULL only when every candidate of the day is NULL.
     """
     owners = _keys(owner)
-    return df.groupBy(*owners, day).agg(F.max(candidate).alias(out or candidate))
+    return as_days(df, day).groupBy(*owners, day).agg(F.max(candidate).alias(out or candidate))
 
 
 def first_value_daily(df: DataFrame, owner: Keys, day: str, candidate: str,
@@ -52,7 +65,7 @@ def first_value_daily(df: DataFrame, owner: Keys, day: str, candidate: str,
     owners = _keys(owner)
     w = (Window.partitionBy(*owners, day).orderBy(F.col(candidate).desc_nulls_last())
          .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    distinct_rows = df.select(*owners, day, candidate).distinct()
+    distinct_rows = as_days(df.select(*owners, day, candidate), day).distinct()
     return (distinct_rows
             .select(*owners, day, F.first_value(F.col(candidate)).over(w).alias(out or candidate))
             .distinct())
@@ -66,7 +79,7 @@ def island_marks(df: DataFrame, keys: Keys, day: str, change: str = "ShiftChange
     parity; ``islands`` collapses without materialising the marks. The
     window partition is the whole key: feed it reduced rows (one per key and
     day, e.g. ``resolve_daily`` output, as the registered queries do)."""
-    ks = _keys(keys)
+    ks, df = _keys(keys), as_days(df, day)
     w = Window.partitionBy(*ks).orderBy(day)
     prev = F.lag(day).over(w)
     marked = df.withColumn(
@@ -89,7 +102,7 @@ def islands(df: DataFrame, keys: Keys, day: str, start: str = "RangeStart",
     then a group-by that reuses the window's partitioning.
     """
     ks = _keys(keys)
-    days = df.select(*ks, day).where(F.col(day).isNotNull())
+    days = as_days(df.select(*ks, day), day).where(F.col(day).isNotNull())
     if not unique:
         days = days.distinct()
     w = Window.partitionBy(*ks).orderBy(day)
@@ -105,7 +118,7 @@ def span(df: DataFrame, keys: Keys, day: str, start: str = "ShiftStart",
     """First and last day per key. Equals MIN(block start) / MAX(block end)
     over the islands of the key, because the islands partition its days."""
     ks = _keys(keys)
-    return df.groupBy(*ks).agg(F.min(day).alias(start), F.max(day).alias(end))
+    return as_days(df, day).groupBy(*ks).agg(F.min(day).alias(start), F.max(day).alias(end))
 
 
 def shift_blocks(df: DataFrame, keys: Keys = ("EmpCode", "ShiftID"), day: str = "Date",
@@ -135,7 +148,7 @@ def change_blocks(df: DataFrame, owner: Keys, day: str, value: str,
     ``weight`` names a row-count column when the input is already reduced
     (e.g. ``roster_daily``); raw rows count one each.
     """
-    owners = _keys(owner)
+    owners, df = _keys(owner), as_days(df, day)
     d, v, n = F.col(day), F.col(value), F.col("_n")
     count = F.sum(weight) if weight else F.count(F.lit(1))
     runs = (df.where(d.isNotNull())
@@ -169,7 +182,7 @@ def expand_days(df: DataFrame, start: str, end: str, out: str = "SingleDate",
     shuffle); output rows = total interval days.
     """
     cols = list(keep) if keep is not None else [c for c in df.columns if c not in (start, end)]
-    return df.select(*cols, F.explode(day_sequence(start, end)).alias(out))
+    return as_days(df, start, end).select(*cols, F.explode(day_sequence(start, end)).alias(out))
 
 
 def resolve_overlaps(df: DataFrame, owner: Keys, start: str, end: str, candidate: str,
@@ -182,14 +195,17 @@ def resolve_overlaps(df: DataFrame, owner: Keys, start: str, end: str, candidate
 
 
 def restrict_owners(df: DataFrame, owner: Keys, owners: DataFrame | None) -> DataFrame:
-    """Keep rows whose owner key is in ``owners`` (a one-column frame of keys);
-    a no-op for ``None``. Left-semi: rows are never multiplied."""
+    """Keep rows whose owner key is in ``owners`` (one column per key column, in
+    order); a no-op for ``None``. Left-semi: rows are never multiplied. A number
+    of columns other than the key's is an error."""
     if owners is None:
         return df
-    key = _keys(owner)[0]
-    # Joined on the key columns as they are: a rename would hide a hash
-    # partitioning of ``owners`` from the planner and cost a shuffle.
-    return df.join(owners, df[key] == owners[owners.columns[0]], "left_semi")
+    keys = _keys(owner)
+    if len(owners.columns) != len(keys):
+        raise ValueError(f"owners has {len(owners.columns)} columns for {len(keys)} key columns")
+    wanted = owners.toDF(*[f"_owner_{i}" for i in range(len(keys))])
+    same = [df[k] == wanted[f"_owner_{i}"] for i, k in enumerate(keys)]
+    return df.join(wanted, same, "left_semi")
 
 
 def resolved_ranges(df: DataFrame, owner: Keys, start: str, end: str, candidate: str,
@@ -199,8 +215,7 @@ def resolved_ranges(df: DataFrame, owner: Keys, start: str, end: str, candidate:
     """Overlap-free date ranges per (owner, candidate): each day goes to the
     highest covering candidate, then each candidate's days collapse to maximal
     runs. Result: (owner..., candidate, range_start, range_end). ``owners``
-    restricts the result to those owner keys (applied after the map-side
-    reduction).
+    restricts the result to those owner keys, before anything is expanded.
 
     ``method='days'`` expands every interval to its days (rows = interval
     days); ``method='segments'`` never materialises days (rows grow with the
@@ -208,13 +223,14 @@ def resolved_ranges(df: DataFrame, owner: Keys, start: str, end: str, candidate:
     give the same result.
     """
     keys = _keys(owner)
-    if method == "segments":
-        return resolved_segments(df, keys, start, end, candidate, range_start, range_end,
-                                 owners)
-    if method != "days":
+    if method not in ("days", "segments"):
         raise ValueError("method must be 'days' or 'segments'")
-    won = restrict_owners(resolve_overlaps(df, keys, start, end, candidate, day=day),
-                          keys, owners)
+    # Owners first, then equal intervals once: only what counts is expanded.
+    df = restrict_owners(df, keys, owners)
+    df = as_days(df.select(*keys, candidate, start, end), start, end).distinct()
+    if method == "segments":
+        return resolved_segments(df, keys, start, end, candidate, range_start, range_end)
+    won = resolve_overlaps(df, keys, start, end, candidate, day=day)
     return islands(won.where(F.col(candidate).isNotNull()), [*keys, candidate], day,
                    start=range_start, end=range_end, unique=True)
 
@@ -246,8 +262,7 @@ def _dyadic_blocks(a: str, b: str):
 
 
 def resolved_segments(df: DataFrame, owner: Keys, start: str, end: str, candidate: str,
-                      range_start: str = "RangeStart", range_end: str = "RangeEnd",
-                      owners: DataFrame | None = None) -> DataFrame:
+                      range_start: str = "RangeStart", range_end: str = "RangeEnd") -> DataFrame:
     """``resolved_ranges`` without expanding days.
 
     1. Each interval is covered by at most 46 aligned power-of-two day blocks;
@@ -262,7 +277,7 @@ def resolved_segments(df: DataFrame, owner: Keys, start: str, end: str, candidat
        candidate over segments, bounded by the owner's distinct edge dates).
     """
     keys = _keys(owner)
-    iv = (df.select(*keys, candidate, _day_number(start).alias("_a"),
+    iv = (as_days(df, start, end).select(*keys, candidate, _day_number(start).alias("_a"),
                     _day_number(end).alias("_b"))
           .where((F.col("_b") >= F.col("_a")) & F.col(candidate).isNotNull()))
     blocks = (iv.select(*keys, candidate, F.explode(_dyadic_blocks("_a", "_b")).alias("_blk"))
@@ -274,7 +289,6 @@ def resolved_segments(df: DataFrame, owner: Keys, start: str, end: str, candidat
     segments = (edges.select(*keys, F.col("_p").alias("_s"),
                              (F.lead("_p").over(w) - 1).alias("_e"))
                 .where(F.col("_e").isNotNull()))
-    segments = restrict_owners(segments, keys, owners)
     probes = segments.select(
         *keys, "_s", "_e",
         F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.shiftright("_s", j).alias("k"))

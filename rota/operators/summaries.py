@@ -110,6 +110,12 @@ def location_pairs(mapping: DataFrame, owner: str = "EmployeeCode",
     )
 
 
+def location_flags(mapping: DataFrame, location: str = "LocationID") -> DataFrame:
+    """The punch bits of the whole mapping, one row per location."""
+    return mapping.groupBy(location).agg(
+        bit_or("PunchIn").alias("PunchIn"), bit_or("PunchOut").alias("PunchOut"))
+
+
 def location_summary(mapping: DataFrame, locations: DataFrame, owner: str = "EmployeeCode",
                      location: str = "LocationID", location_id: str = "ID") -> DataFrame:
     """Per (owner, location) with a master row: MIN georange, MAX rangeinkm,
@@ -141,15 +147,14 @@ def location_details(mapping: DataFrame, locations: DataFrame, owner: str = "Emp
                      location: str = "LocationID", location_id: str = "ID",
                      start: str = "FromDate", end: str = "ToDate",
                      intervals: DataFrame | None = None,
-                     owners: DataFrame | None = None, method: str = "days") -> DataFrame:
+                     owners: DataFrame | None = None, method: str = "segments") -> DataFrame:
     """Per (owner, location) with a master row: MIN georange, MAX rangeinkm,
     MIN coordinates, MIN alias and ``DateRanges`` - the overlap-resolved date
     ranges the location wins (absent when it wins no day).
 
     ``mapping`` may be raw rows or ``location_pairs``; ``intervals`` are the
     raw interval rows to expand (default: ``mapping``). ``owners`` (one column,
-    the owner key) restricts the resolved days after their partial
-    aggregation, before the islands are built. ``method``: see
+    the owner key) restricts the intervals before they are resolved. ``method``: see
     ``resolved_ranges``."""
     joined = mapped_locations(mapping, locations, owner, location, location_id,
                               ("Latitude", "Longitude", "LocationAlias"))

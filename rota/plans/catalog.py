@@ -107,7 +107,7 @@ def access_flags_global(t: RosterTables) -> DataFrame:
 
 
 def rule_lookup(t: RosterTables) -> DataFrame:
-    return access.rule_lookup(t.rules)
+    return access.rule_lookup(t.rules, reports.RULE_ORG)
 
 
 def location_summary(t: RosterTables) -> DataFrame:

@@ -5,10 +5,8 @@ Plan shape (any variant):
 1. Driving set: employees x status (inner; the status dimension is small and
    AQE broadcasts it when measured small), left-semi against the distinct
    roster employees (EXISTS), optionally top-N by employee code.
-2. With a top-N, every branch input (roster, mapping) is first filtered to the
-   N chosen keys (pushed into the scans); without one, the reduced inputs are
-   materialised once, partitioned by employee, and semi-joined to the driving
-   set.
+2. Roster and mapping, restricted to those employees, then reduced; each
+   computed once and cut with a checkpoint.
 3. Branches, each reduced to one row per employee with partial aggregation:
    access flags, shift details, location details, IP allow-list.
 4. One-to-one left joins on the employee key, JSON text at the edge, ORDER BY.
@@ -29,10 +27,10 @@ from rota.operators.documents import (
 )
 from rota.operators.intervals import change_blocks, daily_ranges, restrict_owners
 from rota.operators.summaries import (
-    BREAK_FIELDS, ROSTER_FIELDS, location_details, location_pairs, location_summary_array,
-    roster_daily, shift_summary,
+    BREAK_FIELDS, ROSTER_FIELDS, location_details, location_flags, location_pairs,
+    location_summary_array, roster_daily, shift_summary,
 )
-from rota.session import materialize
+from rota.session import cut_lineage
 from rota.sources.roles import RosterTables
 
 # Identity columns of the report, in output order.
@@ -44,6 +42,8 @@ SHIFT_MASTER_HEAD = ("ShiftName",)
 SHIFT_MASTER_TAIL = ("InTime", "OutTime", "TotalMinutes", "SwipesSeperatorParam",
                      "ISWorkBtwnShifttime", "IsBreakApplicable", "IsNightShiftApplicable",
                      "IsActive", "AutoShift", "ShiftAllowance")
+# The organisation whose rules the reports read.
+RULE_ORG = "23215"
 LOCATION_DETAIL_FIELDS = ("georange", "rangeinkm", "Latitude", "Longitude", "LocationAlias",
                           "DateRanges")
 
@@ -83,21 +83,6 @@ def driving_set(t: RosterTables, top_n: int | None = None,
     return emp
 
 
-# A key set is broadcast explicitly only when its row count is bounded by a
-# top-N of at most this many rows (a few MB of keys).
-BROADCAST_KEYS_MAX = 1_000_000
-
-
-def driving_keys(driving: DataFrame, top_n: int | None) -> DataFrame:
-    """The driving employee keys as a one-column frame. With a top-N of at
-    most ``BROADCAST_KEYS_MAX`` the set is bounded, so it is broadcast
-    explicitly; otherwise the join strategy is left to the planner (AQE
-    broadcasts it only when measured below the threshold, else shuffles)."""
-    keys = driving.select("EmpCode")
-    bounded = top_n is not None and top_n <= BROADCAST_KEYS_MAX
-    return F.broadcast(keys) if bounded else keys
-
-
 def shift_elements(t: RosterTables, v: Variant, roster: DataFrame,
                    weight: str | None = None) -> DataFrame:
     """(EmpCode, ShiftDetails array) for one variant. ``roster`` is raw roster
@@ -116,7 +101,7 @@ def shift_elements(t: RosterTables, v: Variant, roster: DataFrame,
         return child_array(summary, "EmpCode", fields, "ShiftDetails")
 
     if v.pre_post == "rules":
-        rules = rule_lookup(t.rules, key="ShiftID")
+        rules = rule_lookup(t.rules, RULE_ORG, key="ShiftID")
         summary = summary.drop("PreTime", "PostTime").join(rules, "ShiftID", "left")
     ranges = child_array(daily_ranges(roster, "EmpCode", "Date", "ShiftID"),
                          ["EmpCode", "ShiftID"], ["RangeStart", "RangeEnd"], "ShiftRanges")
@@ -129,7 +114,7 @@ def shift_elements(t: RosterTables, v: Variant, roster: DataFrame,
 
 def location_elements(t: RosterTables, v: Variant, mapping: DataFrame,
                       intervals: DataFrame | None = None,
-                      owners: DataFrame | None = None, ranges_method: str = "days") -> DataFrame:
+                      owners: DataFrame | None = None, ranges_method: str = "segments") -> DataFrame:
     """(EmployeeCode, LocationDetails array) for one variant. ``mapping`` may
     be raw rows or ``location_pairs``; v5 expands ``intervals`` (default:
     ``mapping``) restricted to ``owners`` after the daily reduction."""
@@ -143,17 +128,9 @@ def location_elements(t: RosterTables, v: Variant, mapping: DataFrame,
                           "LocationDetails")
 
 
-# Above this many keys a top-N report goes the materialised way instead of
-# a literal key filter.
-LITERAL_KEYS_MAX = 10_000
-# Reduced rows of this many employees (their distinct shift-days and
-# locations) share one partition in a top-N report.
-KEYS_PER_PARTITION = 1_000
-
-
 def employee_report(t: RosterTables, variant: str | Variant = "v3", top_n=_DEFAULT,
                     output: str = "json", ordered: bool = True,
-                    ranges_method: str = "days") -> DataFrame:
+                    ranges_method: str = "segments") -> DataFrame:
     """One document row per employee.
 
     ``variant``: 'v1' .. 'v5' or a ``Variant``. ``top_n``: defaults to the
@@ -162,56 +139,30 @@ def employee_report(t: RosterTables, variant: str | Variant = "v3", top_n=_DEFAU
     ``ranges_method``: how v5 resolves location intervals ('days' or
     'segments' for long / open-ended intervals; same result).
 
-    Two plans:
-
-    * top-N (N up to ``LITERAL_KEYS_MAX``): the N driving rows are computed
-      first (one job; N rows reach the driver, a bound set by the caller) and
-      their keys become an ``IN`` filter on every fact table, pushed into the
-      parquet scans. Every later operator sees only those employees' rows.
-    * every employee (or a larger N): the reduced roster, the reduced mapping
-      and the driving set are each computed once, hash-partitioned by
-      employee and checkpointed to ``spark.checkpoint.dir`` (three jobs). The
-      branches read them instead of re-scanning the fact tables, and group-bys,
-      windows and joins keyed by employee reuse that partitioning.
+    One plan for every N: the driving employees come first; the roster and the
+    mapping are restricted to them by a left-semi join and then reduced. Each
+    of the three is computed once and cut with ``checkpoint()`` in
+    ``spark.checkpoint.dir`` (three jobs, run while the report is built), so the
+    branches share them and lost executors cost no recomputation. Partition
+    counts and join strategies are left to AQE.
     """
     v = VARIANTS[variant] if isinstance(variant, str) else variant
     n = v.top_n if top_n is _DEFAULT else top_n
-    spark = t.roster.sparkSession
-
-    if n is not None and n <= LITERAL_KEYS_MAX:
-        top = driving_set(t, n)
-        rows = top.collect()
-        driving = spark.createDataFrame(rows, top.schema)
-        keys = [r["EmpCode"] for r in rows]
-        raw_mapping = t.mapping.where(F.col("EmployeeCode").isin(keys))
-        # Reduced first (many tasks, map-side partial aggregation), then the
-        # small reduced frames move to few partitions - one for up to
-        # KEYS_PER_PARTITION employees, where every later group-by, window
-        # and join runs without another exchange.
-        parts = -(-max(len(keys), 1) // KEYS_PER_PARTITION)
-        roster = roster_daily(t.roster.where(F.col("EmpCode").isin(keys)))
-        mapping = location_pairs(raw_mapping)
-        roster = roster.repartition(1) if parts == 1 else roster.repartition(parts, "EmpCode")
-        mapping = (mapping.repartition(1) if parts == 1
-                   else mapping.repartition(parts, "EmployeeCode"))
-        owners = None
-    else:
-        roster = materialize(roster_daily(t.roster), ["EmpCode"])
-        mapping = materialize(location_pairs(t.mapping), ["EmployeeCode"])
-        driving = materialize(driving_set(t, n, roster=roster), ["EmpCode"])
-        owners = driving_keys(driving, n)
-        roster = restrict_owners(roster, "EmpCode", owners)
-        mapping = restrict_owners(mapping, "EmployeeCode", owners)
-        raw_mapping = t.mapping
+
+    driving = cut_lineage(driving_set(t, n))
+    owners = driving.select("EmpCode")
+    roster = cut_lineage(roster_daily(restrict_owners(t.roster, "EmpCode", owners)))
+    raw_mapping = restrict_owners(t.mapping, "EmployeeCode", owners)
+    mapping = cut_lineage(location_pairs(raw_mapping))
 
     if v.flags == "global":
-        doc = attach_global_flags(driving, location_pairs(t.mapping), t.locations)
+        doc = attach_global_flags(driving, location_flags(t.mapping), t.locations)
     else:
         doc = attach_flags(driving, access_flags(mapping, t.locations), "EmpCode")
 
     doc = attach(doc, shift_elements(t, v, roster, weight="_rows"), "EmpCode", "EmpCode",
                  ["ShiftDetails"])
-    doc = attach(doc, location_elements(t, v, mapping, intervals=raw_mapping, owners=owners,
+    doc = attach(doc, location_elements(t, v, mapping, intervals=raw_mapping,
                                         ranges_method=ranges_method),
                  "EmpCode", "EmployeeCode", ["LocationDetails"])
     doc = attach(doc, allow_list(t.ip_ranges, mapping, t.locations), "EmpCode", "EmployeeCode",

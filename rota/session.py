@@ -22,9 +22,6 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # Joins on (owner, x) may reuse a partitioning on owner alone: the report
-    # materialises its reduced inputs partitioned by owner once.
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
 }
@@ -74,22 +71,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def materialize(df: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
-    """Hash-partition ``df`` by ``keys`` and write it to the checkpoint folder.
-
-    The result is read, not recomputed, by every plan that uses it, and it
-    keeps its hash partitioning: later group-bys, windows and joins whose keys
-    include ``keys`` need no further shuffle. Eager: runs one job now.
-    """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The checkpoint records the plan's output partitioning only when the
-    # plan is not adaptive; the write itself is a plain scan-reduce-shuffle.
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return cut_lineage(df.repartition(n, *keys))
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)

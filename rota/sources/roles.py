@@ -177,21 +177,9 @@ def rules_view(part: DataFrame) -> DataFrame:
     )
 
 
-_ROLES: dict[tuple[int, str], RosterTables] = {}
-
-
 def role_tables(spark: SparkSession, sf_dir: str) -> RosterTables:
-    """All nine role views over the tables in ``sf_dir`` (built once per
-    session and directory; the views are lazy plans)."""
-    key = (id(spark), sf_dir.rstrip("/"))
-    cached = _ROLES.get(key)
-    if cached is not None and cached.roster.sparkSession is spark:
-        return cached
-    _ROLES[key] = tables = _build_roles(spark, sf_dir)
-    return tables
-
-
-def _build_roles(spark: SparkSession, sf_dir: str) -> RosterTables:
+    """All nine role views over the tables in ``sf_dir`` as they are now (lazy
+    plans; files are listed on every call, so appended rows are seen)."""
     t = lambda name: read_table(spark, sf_dir, name)
     part = t("part")
     nation = t("nation")

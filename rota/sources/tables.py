@@ -11,20 +11,9 @@ TABLES = (
 )
 
 
-# Resolved readers per (session, path). A DataFrame is an immutable plan, so
-# queries built on the same session share it instead of listing and reading
-# the parquet footers again for every query.
-_READERS: dict[tuple[int, str], DataFrame] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Lazy parquet scan; Catalyst prunes columns and pushes filters into it."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    df = _READERS.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(path)
-        _READERS[key] = df
-    return df
+    return spark.read.parquet(path)

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from rota.operators import intervals as iv
@@ -213,3 +214,46 @@ def test_hot_key_is_reduced_before_the_window(spark):
         iv.resolve_daily(df, "EmpCode", "Date", "ShiftID"))
     hot = df.where(F.col("EmpCode") == "HOT")
     assert hot.select("ShiftID", "Date").distinct().count() <= 3 * 29 < hot.count()
+
+
+STAMPED = "EmpCode string, ShiftID int, Date timestamp"
+
+
+def at(d, hour):
+    return dt.datetime.combine(day(d), dt.time(hour))
+
+
+def test_times_of_day_do_not_split_runs(spark):
+    df = frame(spark, [("A", 1, at(1, 8)), ("A", 1, at(1, 20)), ("A", 1, at(2, 8))], STAMPED)
+    want = [("A", 1, day(1), day(2))]
+    assert rowset(iv.islands(df, ["EmpCode", "ShiftID"], "Date")) == want
+    assert rowset(iv.shift_blocks(df)) == want
+    assert rowset(iv.daily_ranges(df, "EmpCode", "Date", "ShiftID")) == want
+    marks = iv.island_marks(df, ["EmpCode", "ShiftID"], "Date")
+    assert {r.ShiftGroup for r in marks.collect()} == {1}
+
+
+@pytest.mark.parametrize("method", ["days", "segments"])
+def test_times_of_day_of_interval_bounds(spark, method):
+    schema = "EmployeeCode string, LocationID int, FromDate timestamp, ToDate timestamp"
+    df = frame(spark, [("A", 1, at(1, 8), at(3, 7)), ("A", 2, at(2, 23), at(2, 23))], schema)
+    got = rowset(iv.resolved_ranges(df, "EmployeeCode", "FromDate", "ToDate", "LocationID", method=method))
+    assert got == [("A", 1, day(1), day(1)), ("A", 1, day(3), day(3)), ("A", 2, day(2), day(2))]
+
+
+def test_other_day_types_are_an_error(spark):
+    df = frame(spark, [("A", 1, "2024-01-01")], "EmpCode string, ShiftID int, Date string")
+    with pytest.raises(TypeError):
+        iv.islands(df, ["EmpCode", "ShiftID"], "Date")
+
+
+@pytest.mark.parametrize("method", ["days", "segments"])
+def test_composite_owners(spark, method):
+    schema = "org string, emp string, LocationID int, FromDate date, ToDate date"
+    rows = [("O1", "A", 1, day(1), day(2)), ("O1", "B", 1, day(1), day(2)), ("O2", "A", 1, day(1), day(2))]
+    df, owners = frame(spark, rows, schema), frame(spark, [("O1", "A")], "a string, b string")
+    call = lambda o: iv.resolved_ranges(
+        df, ["org", "emp"], "FromDate", "ToDate", "LocationID", owners=o, method=method)
+    assert rowset(call(owners)) == [("O1", "A", 1, day(1), day(2))]
+    with pytest.raises(ValueError):
+        call(owners.select("a"))
