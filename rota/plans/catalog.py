@@ -16,6 +16,7 @@ from rota.operators import access, intervals, summaries
 from rota.operators.documents import to_json_columns
 from rota.plans import reports
 from rota.sources.roles import RosterTables, role_tables
+from rota.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +65,13 @@ def shift_ranges(t: RosterTables) -> DataFrame:
     return intervals.daily_ranges(t.roster, "EmpCode", "Date", "ShiftID")
 
 
+def shift_ranges_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``shift_ranges`` with days that carry a time of day."""
+    stamped = read_table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("EmpCode"), F.col("event_type").alias("ShiftID"), F.col("ts").alias("Date"))
+    return intervals.daily_ranges(stamped, "EmpCode", "Date", "ShiftID")
+
+
 def shift_blocks(t: RosterTables) -> DataFrame:
     return intervals.shift_blocks(t.roster, ["EmpCode", "ShiftID"], "Date")
 
@@ -164,6 +172,7 @@ def queries() -> dict[str, Query]:
         "doc_text": _q(_doc("v2")),
         "doc_nested": _q(_doc("v3")),
     }
+    q["shift_ranges_timestamps"] = shift_ranges_timestamps
     for v in reports.VARIANTS:
         q[f"report_{v}"] = _q(_report(v, "default"))
         q[f"report_{v}_all"] = _q(_report(v, None))

@@ -8,7 +8,7 @@ tables; ``role_tables`` derives every role from the supplied test tables with
 column derivations only (no row filters), so each role grows with the scale
 factor of its source.
 
-The same derivations are written as SQL views in ``rota.plans.oracle``; keep
+The same derivations are written as SQL views in ``tools.report_oracle``; keep
 the two in step.
 """
 
