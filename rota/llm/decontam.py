@@ -122,7 +122,8 @@ class Items:
             share = sum(n for _, _, n in tiles(hashes, self.words[item])) / size
             if share >= coverage:
                 out.append((self.ids[item], share))
-        return sorted(out)
+        # Once for equal rows, a NULL id first, as Spark orders them.
+        return sorted(set(out), key=lambda hit: (hit[0] is not None, hit[0] or 0, hit[1]))
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str,

@@ -131,3 +131,11 @@ def test_empty_tables(spark):
     assert decontam.contamination(none, bench).collect() == []
     out = decontam.contamination(frame(spark, ["a b c d e f", None]), bench).collect()
     assert [r.hits for r in out] == [[], []]
+
+
+def test_items_without_id_and_repeated_items(spark):
+    text = "one two three four five six seven eight"
+    docs = frame(spark, [(1, text)])
+    items = spark.createDataFrame([(None, text, "x"), (7, text, "x"), (7, text, "y"), (None, text, "x"),
+                                   (2, None, None)], ITEM)
+    assert result(decontam.contamination(docs, items)) == [(1, [(None, 1.0), (7, 1.0)])]
