@@ -113,17 +113,16 @@ def allow_list(ip_ranges: DataFrame, mapping: DataFrame, locations: DataFrame,
     repeat its IP rows; equal IP rows are both kept. Elements are ordered by
     location id, then by ``fields``.
 
-    An IP list belongs to a location, so it is built once per location (a
-    sorted array) and joined to the distinct (owner, location) pairs; the
-    per-owner aggregate then gathers one array per location instead of one
-    row per (owner, IP) pair, and sorts only its few location entries.
+    IP rows stay flat through the join with the distinct (owner, location)
+    pairs: no task holds all rows of a location (a skewed one is split by AQE),
+    and only the owner's own list is gathered, once.
     """
     ids = owner_location_ids(mapping, locations, owner, location, location_id)
-    per_location = (ip_ranges.select(F.col(ip_location).alias(location), *fields)
-                    .groupBy(location).agg(sorted_array(*fields).alias("_ips")))
-    by_location = F.array_sort(F.collect_list(F.struct(location, "_ips")))
-    return (ids.join(per_location, location, "inner")
-            .groupBy(owner).agg(F.flatten(F.transform(by_location, lambda e: e["_ips"])).alias(out)))
+    rows = ip_ranges.select(F.col(ip_location).alias(location), *fields)
+    return (ids.join(rows, location, "inner")
+            .groupBy(owner).agg(sorted_array(location, *fields).alias("_ips"))
+            .select(owner, F.transform("_ips", lambda e: F.struct(*[e[f].alias(f) for f in fields]))
+                    .alias(out)))
 
 
 def rule_lookup(rules: DataFrame, org: str, key: str = "ShiftID",

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rota.operators import access, intervals, summaries
 from rota.operators.documents import to_json_columns
 from rota.plans import reports
-from rota.sources.roles import RosterTables, role_tables
+from rota.sources.roles import RosterTables, role_tables, roster_view
 from rota.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,8 +67,8 @@ def shift_ranges(t: RosterTables) -> DataFrame:
 
 def shift_ranges_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``shift_ranges`` with days that carry a time of day."""
-    stamped = read_table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("EmpCode"), F.col("event_type").alias("ShiftID"), F.col("ts").alias("Date"))
+    events = read_table(spark, sf_dir, "events")
+    stamped = roster_view(events, day=F.col("ts")).select("EmpCode", "ShiftID", "Date")
     return intervals.daily_ranges(stamped, "EmpCode", "Date", "ShiftID")
 
 

@@ -52,11 +52,12 @@ def _shift_code(index: Column, codes: tuple[str, ...]) -> Column:
 def employees_view(customer: DataFrame) -> DataFrame:
     # Status ids run 3..27 against a 25-row status dimension, so some
     # employees have no status row and drop out of the inner join.
+    k = F.col("c_custkey")
     return customer.select(
         F.col("c_custkey").alias("ed_empcode"),
-        F.lit(None).cast("string").alias("ed_Salutation"),
+        F.when(k % 3 != 0, F.when(k % 3 == 1, "Ms").otherwise("Mr")).alias("ed_Salutation"),
         F.col("c_name").alias("ed_firstname"),
-        F.lit(None).cast("string").alias("ed_MiddleName"),
+        F.when(k % 4 != 0, F.concat(F.lit("M"), (k % 7).cast("string"))).alias("ed_MiddleName"),
         F.col("c_mktsegment").alias("ed_lastname"),
         F.col("c_custkey").alias("ed_empid"),
         (F.col("c_nationkey") + 3).alias("ED_Status"),
@@ -70,22 +71,23 @@ def status_view(nation: DataFrame) -> DataFrame:
     )
 
 
-def roster_view(events: DataFrame) -> DataFrame:
+def roster_view(events: DataFrame, day: Column | None = None) -> DataFrame:
+    # ``day``: what Date is, by default the day of the event. Some rows have no shift, no swipe out and no end minute.
     eid = F.col("event_id")
     return events.select(
         F.col("user_id").alias("EmpCode"),
-        F.col("event_type").alias("ShiftID"),
-        F.col("ts").cast("date").alias("Date"),
+        F.when(eid % 41 != 0, F.col("event_type")).alias("ShiftID"),
+        (F.col("ts").cast("date") if day is None else day).alias("Date"),
         F.col("props").alias("AttMode"),
         (eid % 60).cast("int").alias("DiffIN"),
         (eid % 7).cast("int").alias("DiffOUT"),
         (eid % 480).cast("int").alias("TotalworkedMinutes"),
         F.date_format("ts", "HH:mm:ss").alias("RegIN"),
-        F.lit(None).cast("string").alias("RegOut"),
+        F.when(eid % 5 != 0, _hhmmss((eid % 24).cast("int"), "15")).alias("RegOut"),
         (eid % 15).cast("int").alias("PreTime"),
         (eid % 20).cast("int").alias("PostTime"),
         (eid % 30).cast("int").alias("FromMin"),
-        F.lit(None).cast("int").alias("ToMin"),
+        F.when(eid % 6 != 0, (eid % 45).cast("int")).alias("ToMin"),
     )
 
 
@@ -125,13 +127,14 @@ def breaks_view(region: DataFrame) -> DataFrame:
 
 def mapping_view(orders: DataFrame) -> DataFrame:
     # Interval length o_orderkey % 64 - 1 days: 0 gives a reversed interval;
-    # pending orders get an open (NULL) end. Location ids -2 and -1 have no
-    # master row.
+    # pending orders get an open (NULL) end. An employee has up to 12 locations
+    # at every scale; their ids range over all suppliers, and those beyond
+    # both ends of the supplier ids have no master row.
     k = F.col("o_orderkey")
     start = F.col("o_orderdate").cast("date")
     return orders.select(
         F.col("o_custkey").alias("EmployeeCode"),
-        ((k % 12).cast("int") - 2).alias("LocationID"),
+        (F.floor(F.col("o_custkey") / 15) + k % 12 - 2).cast("int").alias("LocationID"),
         (k % 500).cast("int").alias("georange"),
         (k % 17).cast("int").alias("rangeinkm"),
         start.alias("FromDate"),
@@ -146,8 +149,8 @@ def locations_view(supplier: DataFrame) -> DataFrame:
     s = F.col("s_suppkey")
     return supplier.select(
         s.cast("int").alias("ID"),
-        F.col("s_nationkey").alias("Latitude"),
-        (F.lit(24) - F.col("s_nationkey")).alias("Longitude"),
+        (F.col("s_nationkey") + 0.25).alias("Latitude"),
+        (F.lit(24.5) - F.col("s_nationkey")).alias("Longitude"),
         F.col("s_name").alias("LocationAlias"),
         (s % 10 == 1).alias("IPCheckEnabled"),
         (s % 10).isin(2, 3).alias("LocationCheckEnabled"),
@@ -156,8 +159,9 @@ def locations_view(supplier: DataFrame) -> DataFrame:
 
 
 def ip_ranges_view(part: DataFrame) -> DataFrame:
+    # About 20 rows for each location, at every scale.
     return part.select(
-        (F.col("p_partkey") % 250).cast("int").alias("GeoConfigurationID"),
+        F.floor(F.col("p_partkey") / 20).cast("int").alias("GeoConfigurationID"),
         F.col("p_name").alias("IPFrom"),
         F.col("p_brand").alias("IPTo"),
     )

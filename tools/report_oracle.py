@@ -10,19 +10,24 @@ from __future__ import annotations
 
 VIEWS = """
 employees AS (
-  SELECT c_custkey AS ed_empcode, CAST(NULL AS VARCHAR) AS ed_Salutation, c_name AS ed_firstname,
-         CAST(NULL AS VARCHAR) AS ed_MiddleName, c_mktsegment AS ed_lastname,
+  SELECT c_custkey AS ed_empcode, CASE c_custkey % 3 WHEN 1 THEN 'Ms' WHEN 2 THEN 'Mr' END AS ed_Salutation,
+         c_name AS ed_firstname,
+         CASE WHEN c_custkey % 4 <> 0 THEN 'M' || (c_custkey % 7) END AS ed_MiddleName,
+         c_mktsegment AS ed_lastname,
          c_custkey AS ed_empid, c_nationkey + 3 AS ED_Status
   FROM customer),
 status AS (
   SELECT n_nationkey AS ESM_EmpStatusID, n_name AS ESM_EmpStatusDesc FROM nation),
 roster AS (
-  SELECT user_id AS EmpCode, event_type AS ShiftID, CAST(ts AS DATE) AS Date, props AS AttMode,
+  SELECT user_id AS EmpCode, CASE WHEN event_id % 41 <> 0 THEN event_type END AS ShiftID,
+         CAST(ts AS DATE) AS Date, props AS AttMode,
          CAST(event_id % 60 AS INTEGER) AS DiffIN, CAST(event_id % 7 AS INTEGER) AS DiffOUT,
          CAST(event_id % 480 AS INTEGER) AS TotalworkedMinutes, strftime(ts, '%H:%M:%S') AS RegIN,
-         CAST(NULL AS VARCHAR) AS RegOut, CAST(event_id % 15 AS INTEGER) AS PreTime,
+         CASE WHEN event_id % 5 <> 0
+              THEN lpad(CAST(event_id % 24 AS VARCHAR), 2, '0') || ':15:00' END AS RegOut,
+         CAST(event_id % 15 AS INTEGER) AS PreTime,
          CAST(event_id % 20 AS INTEGER) AS PostTime, CAST(event_id % 30 AS INTEGER) AS FromMin,
-         CAST(NULL AS INTEGER) AS ToMin
+         CASE WHEN event_id % 6 <> 0 THEN CAST(event_id % 45 AS INTEGER) END AS ToMin
   FROM events),
 shifts AS (
   SELECT CASE n_regionkey WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'error'
@@ -46,7 +51,7 @@ breaks AS (
          r_regionkey % 2 = 0 AS Applicable
   FROM region),
 mapping AS (
-  SELECT o_custkey AS EmployeeCode, CAST(o_orderkey % 12 AS INTEGER) - 2 AS LocationID,
+  SELECT o_custkey AS EmployeeCode, CAST(o_custkey // 15 + o_orderkey % 12 - 2 AS INTEGER) AS LocationID,
          CAST(o_orderkey % 500 AS INTEGER) AS georange, CAST(o_orderkey % 17 AS INTEGER) AS rangeinkm,
          CAST(o_orderdate AS DATE) AS FromDate,
          CASE WHEN o_orderstatus <> 'P'
@@ -54,12 +59,13 @@ mapping AS (
          o_orderkey % 3 = 0 AS PunchIn, o_orderkey % 11 = 0 AS PunchOut
   FROM orders),
 locations AS (
-  SELECT CAST(s_suppkey AS INTEGER) AS ID, s_nationkey AS Latitude, 24 - s_nationkey AS Longitude,
+  SELECT CAST(s_suppkey AS INTEGER) AS ID, CAST(s_nationkey + 0.25 AS DOUBLE) AS Latitude,
+         CAST(24.5 - s_nationkey AS DOUBLE) AS Longitude,
          s_name AS LocationAlias, s_suppkey % 10 = 1 AS IPCheckEnabled,
          s_suppkey % 10 IN (2, 3) AS LocationCheckEnabled, s_suppkey % 10 = 4 AS IPCheckEnabledOnMobile
   FROM supplier),
 ip_ranges AS (
-  SELECT CAST(p_partkey % 250 AS INTEGER) AS GeoConfigurationID, p_name AS IPFrom, p_brand AS IPTo
+  SELECT CAST(p_partkey // 20 AS INTEGER) AS GeoConfigurationID, p_name AS IPFrom, p_brand AS IPTo
   FROM part),
 rules AS (
   SELECT CASE p_size % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'error'
@@ -98,7 +104,8 @@ raw_runs AS (
 marks AS (
   SELECT d.EmpCode, d.ShiftID, d.Date, (before.Date IS NULL)::INT AS ShiftChange
   FROM shift_day d LEFT JOIN shift_day before
-    ON before.EmpCode = d.EmpCode AND before.ShiftID = d.ShiftID AND before.Date = d.Date - 1),
+    ON before.EmpCode = d.EmpCode AND before.ShiftID IS NOT DISTINCT FROM d.ShiftID
+    AND before.Date = d.Date - 1),
 history AS (
   SELECT EmpCode, Date, ShiftID,
          row_number() OVER (PARTITION BY EmpCode ORDER BY Date, ShiftID NULLS FIRST) AS place
@@ -262,7 +269,7 @@ FROM employees WHERE ed_empcode IN (SELECT EmpCode FROM roster)"""),
         "shift_island_numbers": _with("""
 SELECT m.EmpCode, m.ShiftID, m.Date, count(*) AS ShiftGroup
 FROM marks m JOIN marks s
-  ON s.EmpCode = m.EmpCode AND s.ShiftID = m.ShiftID AND s.Date <= m.Date AND s.ShiftChange = 1
+  ON s.EmpCode = m.EmpCode AND s.ShiftID IS NOT DISTINCT FROM m.ShiftID AND s.Date <= m.Date AND s.ShiftChange = 1
 GROUP BY m.EmpCode, m.ShiftID, m.Date"""),
         "shift_ranges": _with("SELECT * FROM shift_runs"),
         "shift_blocks": _with("""
