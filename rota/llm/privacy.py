@@ -6,8 +6,9 @@ estimated over the whole corpus, by documents: with IC(e) = -log2 p(e) the
 information of the entity and PMI(e, t) = log2 p(e, t) / (p(e) p(t)), the disclosure
 PMI / IC is 1 when t never stands in a document without e, and 0 when they are
 independent. Terms beside a mention of e that reach ``REMOVE`` are removed,
-those that reach ``GENERALISE`` are replaced by a general word. A pair must have
-been seen in ``SUPPORT`` documents, as one document tells nothing.
+those that reach ``GENERALISE`` are replaced by a general word. ``SUPPORT`` is the
+least number of documents of a pair: 1, so the estimate decides for rare
+entities too, and a rare term of the only document with an entity goes with it.
 
 DataFrame functions only.
 """
@@ -22,7 +23,7 @@ from rota.llm.frames import ID, KEY, fresh, keyed, meet, text_key
 from rota.session import cut_lineage
 
 CONTEXT = 48          # code points on each side of a mention
-SUPPORT = 3
+SUPPORT = 1
 GENERALISE, REMOVE = 0.8, 0.9
 SHORTEST = 4          # letters of a term
 

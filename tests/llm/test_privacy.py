@@ -103,5 +103,12 @@ def test_sanitised_texts(spark):
         1: "mail [EMAIL] now", 2: None, 3: "clean", 4: "", 5: "ip [IP], [PHONE]"}
 
 
+def test_terms_of_an_entity_in_one_document(spark):
+    rows = [(1, "ask quillon stone at me@host.example.com house")]
+    rows += [(2 + i, "water stone house summer") for i in range(20)]
+    spans = {r[0]: r[-1] for r in result(privacy.scan_private(frame(spark, rows)))}
+    assert spans.pop(1) == "email:21:40,remove:4:11" and not any(spans.values())
+
+
 def test_empty_table(spark):
     assert privacy.scan_private(spark.createDataFrame([], SCHEMA)).collect() == []
