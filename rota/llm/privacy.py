@@ -1,14 +1,15 @@
 """Personal data: pattern spans, and terms that give a protected entity away.
 
 Protected entities are the values found by pattern (mail and network addresses,
-card and telephone numbers). What a term t near an entity e tells about it is
-estimated over the whole corpus, by documents: with IC(e) = -log2 p(e) the
+card and telephone numbers). What a term t in a document
+of an entity e tells about it is estimated over the whole corpus, by documents: with IC(e) = -log2 p(e) the
 information of the entity and PMI(e, t) = log2 p(e, t) / (p(e) p(t)), the disclosure
 PMI / IC is 1 when t never stands in a document without e, and 0 when they are
-independent. Terms beside a mention of e that reach ``REMOVE`` are removed,
-those that reach ``GENERALISE`` are replaced by a general word. ``SUPPORT`` is the
-least number of documents of a pair: 1, so the estimate decides for rare
-entities too, and a rare term of the only document with an entity goes with it.
+independent. Terms that reach ``REMOVE`` are removed wherever they stand in a
+document with e, those that reach ``GENERALISE`` are replaced by a general word.
+``SUPPORT`` is the least number of documents of a pair: 1, so the estimate
+decides for rare entities too, and a rare term of the only document with an
+entity goes with it.
 
 DataFrame functions only.
 """
@@ -22,7 +23,7 @@ from rota.llm import spans as sp
 from rota.llm.frames import ID, KEY, fresh, keyed, meet, text_key
 from rota.session import cut_lineage
 
-CONTEXT = 48          # code points on each side of a mention
+CONTEXT = (1 << 31) - 1   # code points on each side of a mention: more than any text, so whole documents
 SUPPORT = 1
 GENERALISE, REMOVE = 0.8, 0.9
 SHORTEST = 4          # letters of a term
@@ -71,83 +72,97 @@ def _kept(name: str, spans: Column) -> Column:
     return spans
 
 
-def candidates(docs: DataFrame, id_col: str, text_col: str, context: int = CONTEXT) -> DataFrame:
-    """(``_id``, ``_key``, base, terms) per row: base spans, and the terms beside
-    each: entity (kind and value), term (lower case), start, end."""
+def candidates(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(``_id``, ``_key``, base) per row: base spans; and (``_id``, ``_key``, term,
+    places) of the texts that hold any: every term (lower case) with the start
+    and end of its occurrences. Repeats of one (id, text) count once there."""
     rows = keyed(docs, id_col, text_col, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = sp.find_spans(rows, F.col("_text"), PATTERNS, RANKS)
     rows = rows.withColumn("base", F.concat(*[_kept(n, F.col(n)) for n in PATTERNS]))
-    text = F.col("_text")
-    # Words cut by the edge of a window are left out: one more character on the
-    # outer side shows whether the first or last letter begins or ends a word.
-    sides = F.flatten(F.transform("base", lambda s: F.array(
-        F.struct(s["value"].alias("entity"), s["kind"].alias("kind"),
-                 F.greatest(s["start"] - context, F.lit(0)).alias("from"), s["start"].alias("to")),
-        F.struct(s["value"].alias("entity"), s["kind"].alias("kind"),
-                 s["end"].alias("from"), (s["end"] + context).alias("to")))))
-    rows = rows.withColumn("sides", F.transform(sides, lambda w: F.struct(
-        w["entity"].alias("entity"), w["kind"].alias("kind"), w["from"].alias("from"),
-        F.substring(text, (w["from"] + 1).cast("int"), (w["to"] - w["from"]).cast("int")).alias("part"),
-        (F.substring(text, w["from"].cast("int"), F.when(w["from"] > 0, 1).otherwise(0))
-         .rlike(f"^{_LETTERS}$")).alias("cut_first"),
-        F.substring(text, (w["to"] + 1).cast("int"), F.lit(1)).rlike(f"^{_LETTERS}$").alias("cut_last"))))
-    rows = cut_lineage(rows.select(ID, KEY, "base", "sides"))   # places and short windows only
-    sides = (rows.where("size(base) > 0").select(ID, KEY, F.explode("sides").alias("w"))
-             .select(ID, KEY, "w.*").distinct())
-    words = sp.mark_matches(sides, F.col("part"), {"w": (_LETTERS, None)}).where("_parts_w is not null")
-    words = words.withColumn("_at", sp.running_sums(F.transform("_parts_w", F.length)))
-    words = words.select("*", F.posexplode("_parts_w").alias("n", "term")).where("n % 2 = 1")
-    start = F.col("from") + F.element_at("_at", F.col("n") + 1)
-    last = F.col("n") == F.size("_parts_w") - 2
-    words = (words.where(~((F.col("n") == 1) & (F.col("_parts_w")[0] == "") & F.col("cut_first"))
-                         & ~(last & (F.element_at("_parts_w", -1) == "") & F.col("cut_last"))
-                         & (F.length("term") >= SHORTEST))
-             .select(ID, KEY, F.concat_ws(":", "kind", "entity").alias("entity"),
-                     F.lower("term").alias("term"), start.alias("start"),
-                     (start + F.length("term")).alias("end")))
-    return rows.select(ID, KEY, "base"), words.distinct()
-
-
-def disclosures(docs: DataFrame, found: DataFrame, terms: DataFrame, text_col: str,
-                support: int = SUPPORT) -> DataFrame:
-    """(entity, term, disclosure) of the pairs with enough support. Counts are
-    documents: repeats of one (id, text) count once per pair and each in the
-    corpus."""
-    joint = cut_lineage(terms.select(ID, KEY, "entity", "term").distinct()
-                        .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-                        .where(F.col("n_both") >= support))
-    entities = (found.select(ID, KEY, F.explode(F.array_distinct(F.transform(
-        "base", lambda s: F.concat_ws(":", s["kind"], s["value"])))).alias("entity"))
-        .distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")))
+    # Places, and only those texts whose words are looked at.
+    rows = cut_lineage(rows.select(ID, KEY, "base", F.when(F.size("base") > 0, F.col("_text")).alias("_text")))
+    texts = rows.where("size(base) > 0").select(ID, KEY, "_text").dropDuplicates([ID, KEY])
+    words = sp.mark_matches(texts, F.col("_text"), {"w": (_LETTERS, None)}).where("_parts_w is not null")
+    # A generator's result is computed once; a plain column would be computed
+    # again for every block of the running sums.
+    words = words.select(ID, KEY, F.explode(F.array(F.struct(
+        F.col("_parts_w").alias("parts"), F.transform("_parts_w", F.length).alias("sizes")))).alias("w"))
+    words = words.select(ID, KEY, F.posexplode(F.arrays_zip(
+        F.col("w.parts").alias("term"), sp.running_sums(F.col("w.sizes")).alias("start"))).alias("n", "w"))
+    words = (words.where((F.col("n") % 2 == 1) & (F.length("w.term") >= SHORTEST))
+             .groupBy(ID, KEY, F.lower("w.term").alias("term"))
+             .agg(F.collect_list(F.struct("w.start", (F.col("w.start") + F.length("w.term")).alias("end")))
+                  .alias("places")))
+    return rows.select(ID, KEY, "base"), words
+
+
+def mentions(found: DataFrame) -> DataFrame:
+    """(``_id``, ``_key``, entity, first_end, last_start): entities (kind and value)
+    by document, with the end of the first mention and the start of the last."""
+    return (found.where("size(base) > 0").select(ID, KEY, F.explode("base").alias("s"))
+            .groupBy(ID, KEY, F.concat_ws(":", "s.kind", "s.value").alias("entity"))
+            .agg(F.min("s.end").alias("first_end"), F.max("s.start").alias("last_start")))
+
+
+def counted_terms(docs: DataFrame, terms: DataFrame, text_col: str, cap: float) -> DataFrame:
+    """``terms`` with ``n_term``, the documents of the corpus that hold the term;
+    without those in more than ``cap``."""
     words = docs.select(F.explode(F.array_distinct(F.split(
         F.lower(F.coalesce(F.col(text_col), F.lit(""))), _NOT_LETTERS))).alias("term"))
     counts = (words.where(F.length("term") >= SHORTEST)
-              .groupBy("term").agg(F.count(F.lit(1)).alias("n_term")))
-    total = F.lit(float(max(found.count(), 1)))
-    information = F.log2(total / F.col("n_entity"))
+              .groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).where(F.col("n_term") <= cap))
+    return terms.join(counts, "term")
+
+
+def pairs(entities: DataFrame, terms: DataFrame) -> DataFrame:
+    """(``_id``, ``_key``, entity, term, places, n_term): a term and an entity of
+    one document. A term that stands only inside the mentions of an entity is a
+    part of it; as mentions don't overlap, and terms don't, the outer ones decide."""
+    terms = terms.select("*", F.array_max("places.start").alias("_last"),
+                         F.array_min("places.end").alias("_first"))
+    return meet(entities, terms, "inner", extra=lambda r: ~(
+        (r["_last"] < F.col("first_end")) & (r["_first"] > F.col("last_start")))).drop(
+        "first_end", "last_start", "_last", "_first")
+
+
+def disclosures(both: DataFrame, sizes: DataFrame, total: int, support: int = SUPPORT) -> DataFrame:
+    """(entity, term, disclosure) of the pairs. All three counts are documents:
+    repeats of one (id, text) count once per pair and each in the corpus."""
+    joint = (both.groupBy("entity", "term").agg(
+        F.count(F.lit(1)).alias("n_both"), F.first("n_term").alias("n_term"))
+        .where(F.col("n_both") >= support))
+    information = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
     # PMI / IC, written out; the joint count can't pass either of the others.
     told = F.log2(F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0)))
-    return (joint.join(counts, "term").join(entities, "entity")
-            .where(information > 0)
+    return (joint.join(sizes, "entity").where(information > 0)
             .select("entity", "term", (1 + told / information).alias("disclosure")))
 
 
 def scan_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(``_id``, ``_key``, base, spans) of every row: pattern spans by kind and
-    start, and these with the disclosing terms, which overlap none of them.
+    start, and these with every occurrence of a disclosing term in the documents
+    that hold its entity, other than those that overlap a pattern span.
     Empty arrays where nothing is found, NULL texts included."""
     found, terms = candidates(docs, id_col, text_col)
-    terms = cut_lineage(terms)
-    told = disclosures(docs, found, terms, text_col).where(F.col("disclosure") >= generalise)
-    hits = terms.join(told, ["entity", "term"]).groupBy(ID, KEY, "start", "end").agg(
-        F.max("disclosure").alias("disclosure"))
+    entities = mentions(found)
+    sizes = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    total = found.count()
+    # disclosure >= g means n_term <= n_both (total / n_entity)^(1 - g), and n_both
+    # is at most n_entity: commoner terms can't reach it with any entity.
+    most = sizes.agg(F.max(F.col("n_entity") * F.pow(
+        F.lit(float(total)) / F.col("n_entity"), F.lit(1.0 - generalise)))).first()[0] or 0.0
+    terms = cut_lineage(counted_terms(docs, terms, text_col, most * (1 + 1e-6)))
+    both = pairs(entities, terms)
+    told = disclosures(both, sizes, total).where(F.col("disclosure") >= generalise)
+    hits = (both.join(told, ["entity", "term"])
+            .select(ID, KEY, "disclosure", F.explode("places").alias("p"))
+            .groupBy(ID, KEY, F.col("p.start").alias("start"), F.col("p.end").alias("end"))
+            .agg(F.max("disclosure").alias("disclosure")))
     kind = F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")
     rank = F.when(F.col("disclosure") >= remove, RANKS["remove"]).otherwise(RANKS["generalise"])
     base = (found.where("size(base) > 0").select(ID, KEY, F.explode("base").alias("s"))
             .select(ID, KEY, F.col("s.start").alias("_from"), F.col("s.end").alias("_to")).distinct())
-    # A term is shorter than its window, so a base span that covers part of it
-    # starts before its end and ends after its start.
     over = meet(hits, base, "left_anti", extra=lambda r: (
         (r["_from"] < F.col("end")) & (r["_to"] > F.col("start"))))
     more = over.groupBy(ID, KEY).agg(F.collect_list(F.struct(

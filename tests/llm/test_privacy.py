@@ -110,5 +110,15 @@ def test_terms_of_an_entity_in_one_document(spark):
     assert spans.pop(1) == "email:21:40,remove:4:11" and not any(spans.values())
 
 
+def test_terms_far_from_the_mention(spark):
+    far = "water stone house summer " * 30
+    rows = [(i, f"Quillon {far}me@host.example.com {far}quillon") for i in range(3)]
+    rows += [(10 + i, far) for i in range(20)]
+    end = 8 + len(far) + 20 + len(far)
+    spans = {r[0]: r[-1] for r in result(privacy.scan_private(frame(spark, rows)))}
+    for i in range(3):
+        assert spans[i].split(",")[1:] == ["remove:0:7", f"remove:{end}:{end + 7}"]
+
+
 def test_empty_table(spark):
     assert privacy.scan_private(spark.createDataFrame([], SCHEMA)).collect() == []
