@@ -3,7 +3,8 @@
 Sure spans (base) are found by pattern: assignments of long values, access
 identifiers, long hexadecimal runs. Weak candidates - a short assigned value, a
 user name or client id, an endpoint - mean nothing alone; they are reported when
-complementary parts of one credential stand within ``RADIUS`` code points:
+complementary parts of one credential stand within ``RADIUS`` code points, from
+the end of one to the start of the other:
 
 * a weak secret next to an identifier (sure or weak) or an endpoint;
 * a weak identifier next to a secret (sure or weak);
@@ -67,7 +68,7 @@ def linked(found: DataFrame, radius: int = RADIUS) -> DataFrame:
     own = own.select(ID, KEY, "s.start", "s.end", "s.rank", "s.kind").distinct()
     parts = found.where("size(weak) > 0").select(
         ID, KEY, F.explode(F.concat("base", "weak")).alias("s"))
-    parts = parts.select(ID, KEY, F.col("s.start").alias("at"),
+    parts = parts.select(ID, KEY, F.col("s.start").alias("from"), F.col("s.end").alias("to"),
                          _roles(F.col("s.kind")).alias("role")).distinct()
     met = sp.near(own, parts, radius).groupBy(ID, KEY, "start", "end", "rank", "kind").agg(
         *[F.max((F.col("role") == r).cast("int")).alias(f"has_{r}")

@@ -106,21 +106,25 @@ def spans_text(spans: Column) -> Column:
 
 def near(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
     """Interval join inside documents: rows of ``left`` (``_id``, ``_key``, start,
-    end, ...) with each row of ``right`` (``_id``, ``_key``, at, ...) whose place
-    ``at`` is at most ``radius`` before the start or after the end.
+    end, ...) with each row of ``right`` (``_id``, ``_key``, from, to, ...) that ends
+    at most ``radius`` before the start and starts at most ``radius`` after the end.
 
     Both meet on a cell of ``radius`` code points of their document, so the work
     is dealt out by place, not by document, and a row meets only what its
-    surroundings can hold. Result: left's columns and right's other than the
-    keys and ``at``.
+    surroundings can hold; of the cells that two rows share, the first counts.
+    Result: left's columns and right's other than the keys, ``from`` and ``to``.
     """
-    cells = F.sequence(F.floor((F.col("start") - radius) / radius),
-                       F.floor((F.col("end") + radius) / radius))
-    left = left.withColumn("_cell", F.explode(cells))
-    right = right.withColumn("_right_cell", F.floor(F.col("at") / radius))
+    def cells(start, end):
+        return F.sequence(F.floor(start / radius), F.floor(end / radius))
+    wide = cells(F.col("start") - radius, F.col("end") + radius)
+    left = left.withColumn("_first", wide[0]).withColumn("_cell", F.explode(wide))
+    own = cells(F.col("from"), F.col("to"))
+    right = right.withColumn("_right_first", own[0]).withColumn("_right_cell", F.explode(own))
     return meet(left, right, "inner", extra=lambda r: (
-        (F.col("_cell") == F.col("_right_cell")) & (F.col("at") >= F.col("start") - radius)
-        & (F.col("at") <= F.col("end") + radius))).drop("_cell", "_right_cell", "at")
+        (F.col("_cell") == F.col("_right_cell"))
+        & (F.col("_cell") == F.greatest("_first", "_right_first"))
+        & (F.col("to") >= F.col("start") - radius) & (F.col("from") <= F.col("end") + radius))).drop(
+        "_first", "_cell", "_right_first", "_right_cell", "from", "to")
 
 
 def redact(text: Column, spans: Column, labels: dict[str, str], other: str) -> Column:
