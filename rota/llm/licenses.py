@@ -27,22 +27,27 @@ CONTAINMENT = 0.8
 PHRASES = (("mit license", "mit"), ("apache license", "apache"),
            ("general public license", "gpl"))
 
-# Usual one-line notices and opening sentences, by label.
+# Usual one-line notices and opening sentences, by label. Of four
+# words or fewer all are needed, so short notices are listed by their telling
+# words, none of which a block may lack.
 TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "licensed under the mit license"),
+    ("mit", "under the mit license"),
+    ("mit", "released under the mit"),
+    ("mit", "licensed under the mit"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this "
             "software and associated documentation files"),
-    ("apache", "licensed under the apache license version 2.0"),
+    ("apache", "apache license version 2"),
+    ("apache", "under apache version 2"),
     ("apache", "you may not use this file except in compliance with the license"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
+    ("gpl", "gnu general public license"),
+    ("gpl", "gnu public license version"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the "
             "terms of the gnu general public license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are "
             "permitted provided that the following conditions are met"),
-    ("cc-by-nc", "licensed under cc by nc 4.0"),
-    ("cc-by-sa", "licensed under cc by sa 4.0"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4.0 international license"),
+    ("cc-by-nc", "cc by nc 4"),
+    ("cc-by-sa", "cc by sa 4"),
+    ("cc-by", "creative commons attribution international"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or "
             "without fee is hereby granted"),

@@ -73,6 +73,18 @@ def test_oracle_on_awkward_rows(spark):
     assert sorted(got, key=str) == brute(list(rows.items()))
 
 
+def test_each_notice_gets_its_own_label_only(spark):
+    notices = [("Released under the MIT License.", "mit"),
+               ("Licensed under the MIT License.", "mit"),
+               ("Licensed under the Apache License, Version 2.0.", "apache"),
+               ("This work is licensed under the GNU General Public License, version 3.", "gpl"),
+               ("Licensed under CC BY-NC 4.0", "cc-by-nc"), ("Licensed under CC BY-SA 4.0", "cc-by-sa"),
+               ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
+               ("Licensed under the License, Version 2.0", "")]
+    got = licenses.scan_licenses(frame(spark, [n for n, _ in notices])).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == [label for _, label in notices]
+
+
 def test_empty_table_and_no_templates(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], SCHEMA)).collect() == []
     out = licenses.scan_licenses(frame(spark, ["the mit license"]), templates=())
