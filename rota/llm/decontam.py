@@ -91,9 +91,12 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]]):
         cache = WordHashes()
         self.ids, self.words, seeds = [], [], {}
+        self.short: dict[int, dict[int, list[int]]] = {}   # words -> hash of them all -> ids
         for item_id, text in rows:
             hashes = cache.of(alnum_words((text or "").encode()))
             if len(hashes) < MIN_TILE:
+                for h in rolling(hashes, len(hashes)).tolist() if len(hashes) else ():
+                    self.short.setdefault(len(hashes), {}).setdefault(h, []).append(item_id)
                 continue
             for p, h in enumerate(rolling(hashes, MIN_TILE).tolist()):
                 seeds.setdefault(h, []).append((len(self.ids), p))
@@ -105,10 +108,16 @@ class Items:
         self.gate[(self.sorted >> np.uint64(48)).astype(np.int64)] = True
 
     def hits(self, hashes: np.ndarray, coverage: float) -> list[tuple[int, float]]:
+        out = [(i, 1.0) for size, whole in self.short.items()
+               for h in whole.keys() & set(rolling(hashes, size).tolist()) for i in whole[h]]
         values = rolling(hashes, MIN_TILE)
         maybe = values[self.gate[(values >> np.uint64(48)).astype(np.int64)]]
-        if not len(maybe) or not len(self.sorted):
-            return []
+        if len(maybe):
+            out += self._tiled(hashes, maybe, coverage)
+        # Once for equal rows, a NULL id first, as Spark orders them.
+        return sorted(set(out), key=lambda hit: (hit[0] is not None, hit[0] or 0, hit[1]))
+
+    def _tiled(self, hashes: np.ndarray, maybe: np.ndarray, coverage: float) -> list[tuple[int, float]]:
         at = np.minimum(np.searchsorted(self.sorted, maybe), len(self.sorted) - 1)
         under: dict[int, set[int]] = {}
         for h in set(maybe[self.sorted[at] == maybe].tolist()):
@@ -122,8 +131,7 @@ class Items:
             share = sum(n for _, _, n in tiles(hashes, self.words[item])) / size
             if share >= coverage:
                 out.append((self.ids[item], share))
-        # Once for equal rows, a NULL id first, as Spark orders them.
-        return sorted(set(out), key=lambda hit: (hit[0] is not None, hit[0] or 0, hit[1]))
+        return out
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str,
@@ -157,7 +165,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, out: str = "hits",
     """``docs`` with ``out``: the items that contaminate the row and their tile
     coverage, by item id; empty for none, for an empty or NULL text and for an
     empty benchmark. Words are lower-cased runs of letters and digits. Items of
-    fewer than five words can't be found. Repeated items count once each."""
+    fewer than five words are one tile, found as whole copies. Repeated items count once each."""
     spark, blocks = docs.sparkSession, None
     for n, rows in _blocks(benchmark, item_col, item_text):
         column = _hits_column(spark, rows, text_col, coverage)

@@ -139,3 +139,12 @@ def test_items_without_id_and_repeated_items(spark):
     items = spark.createDataFrame([(None, text, "x"), (7, text, "x"), (7, text, "y"), (None, text, "x"),
                                    (2, None, None)], ITEM)
     assert result(decontam.contamination(docs, items)) == [(1, [(None, 1.0), (7, 1.0)])]
+
+
+def test_items_shorter_than_a_tile(spark):
+    docs = frame(spark, [(1, "see Only four, words here now"), (2, "only four words there here"),
+                         (3, "zebra"), (4, ""), (5, "one two three four five zebra")])
+    items = spark.createDataFrame([(1, "only four words here", "x"), (2, "Zebra", "x"), (3, "", "x"),
+                                   (4, "one two three four five", "x")], ITEM)
+    assert result(decontam.contamination(docs, items)) == [
+        (1, [(1, 1.0)]), (2, []), (3, [(2, 1.0)]), (4, []), (5, [(2, 1.0), (4, 1.0)])]
