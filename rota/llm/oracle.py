@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from rota.llm import chat
 from rota.llm.licenses import CONTAINMENT, PHRASES, TEMPLATES, _words
 from rota.llm.queries import DIMS, NEAREST, QUERY_STEP
 from rota.llm.substrings import WIDTH
@@ -79,6 +80,38 @@ FROM split LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id)
 """
 
 
+def _chat_sql() -> str:
+    """Digests of the turns themselves; the length of the output from a hand-written
+    list of what the markers add."""
+    text = "replace(coalesce({}, ''), '\\', '\\\\')"
+    for c in chat.DEFAULT.control():
+        text = f"replace({text}, '{c}', '{c[0]}\\{c[1:]}')"
+    return f"""
+WITH said AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           {text.format("text")} AS shown, {text.format("role")} AS shown_role
+    FROM (SELECT conv_id, turn, role, text FROM conversations
+          UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]')),
+sized AS (
+    SELECT *, length(shown) + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 4
+                              ELSE length(shown_role) + 19 END AS size,
+           CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'o' END AS letter
+    FROM said),
+whole AS (
+    SELECT conv_id, count(*)::BIGINT AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, shown)) AS turns_sha256,
+           coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, shown) FILTER (role = 'assistant'), '') AS trained,
+           3 + sum(size) AS formatted_chars,
+           string_agg(letter, '' ORDER BY turn NULLS FIRST, role, shown) AS letters
+    FROM sized GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, length(trained)::BIGINT AS loss_chars, sha256(trained) AS loss_sha256,
+       formatted_chars::BIGINT AS formatted_chars, regexp_full_match(letters, 's?(ua)+') AS valid,
+       CASE WHEN NOT regexp_full_match(letters, 's?(ua)+')
+            THEN length(regexp_extract(letters, '^s?(ua)*u?'))::BIGINT END AS refused_at
+FROM whole
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op3_substrings": SUBSTRINGS_SQL, "op6_licenses": _licenses_sql(),
-            "op7_hamming_top_k": HAMMING_SQL}
+            "op7_hamming_top_k": HAMMING_SQL, "op12_chat_format": _chat_sql()}
