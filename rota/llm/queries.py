@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rota.llm import (
     chat, credentials, decontam, hamming, hilbert, licenses, packing, privacy, quality, simhash, spans,
-    substrings,
+    substrings, whitening,
 )
 from rota.llm.frames import ID
 from rota.sources.tables import read_table
@@ -107,8 +107,12 @@ def chat_digests(formatted: DataFrame) -> DataFrame:
                        "valid", "refused_at")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_hilbert_shards, op2_simhash, op3_substrings, op4_decontaminate, op5_secrets,
         op6_licenses, op7_hamming_top_k, op8_quality, op9_packing, op10_privacy,
-        op12_chat_format)}
+        op12_chat_format, op13_whitening)}
