@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from rota.llm import chat
+from rota.llm.collocations import LONGEST, NO_LANGUAGE, SUBSUMED, SUPPORT, TOP
 from rota.llm.licenses import CONTAINMENT, PHRASES, TEMPLATES, _words
 from rota.llm.queries import DIMS, NEAREST, QUERY_STEP
 from rota.llm.substrings import WIDTH
@@ -80,6 +81,44 @@ FROM split LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id)
 """
 
 
+COLLOCATIONS_SQL = rf"""
+WITH pieces AS (
+    SELECT coalesce(lang, '{NO_LANGUAGE}') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents),
+split AS MATERIALIZED (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+totals AS (SELECT lang, sum(len(words))::HUGEINT AS n FROM split GROUP BY lang),
+grams AS (
+    SELECT lang, size, array_to_string(words[p:p + size - 1], ' ') AS phrase
+    FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS p
+          FROM split, range(1, {LONGEST + 1}) AS sizes(size) WHERE len(words) >= size)),
+counts AS MATERIALIZED (
+    SELECT lang, size, phrase, string_split(phrase, ' ') AS words, count(*)::HUGEINT AS f
+    FROM grams GROUP BY lang, size, phrase HAVING count(*) >= {SUPPORT}),
+cuts AS (
+    SELECT lang, phrase, words, size, f AS a, unnest(range(1, size)) AS k FROM counts WHERE size > 1),
+scored AS (
+    SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, t.n, (1000 * c.a * t.n) // (x.f * y.f) AS score
+    FROM cuts c
+    JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:c.k], ' ')
+    JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[c.k + 1:], ' ')
+    JOIN totals t ON t.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+    SELECT lang, array_to_string(words[s:s + m - 1], ' ') AS phrase, max(f) AS longer
+    FROM (SELECT lang, words, f, m, unnest(range(1, size - m + 2)) AS s
+          FROM (SELECT lang, words, f, size, unnest(range(2, size)) AS m FROM counts WHERE size > 2))
+    GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM best LEFT JOIN inside USING (lang, phrase)
+WHERE longer IS NULL OR 100 * longer < {SUBSUMED} * a
+QUALIFY rank <= {TOP}
+"""
+
+
 def _chat_sql() -> str:
     """Digests of the turns themselves; the length of the output from a hand-written
     list of what the markers add."""
@@ -114,4 +153,5 @@ FROM whole
 
 def oracle_sql() -> dict[str, str]:
     return {"op3_substrings": SUBSTRINGS_SQL, "op6_licenses": _licenses_sql(),
-            "op7_hamming_top_k": HAMMING_SQL, "op12_chat_format": _chat_sql()}
+            "op7_hamming_top_k": HAMMING_SQL, "op11_collocations": COLLOCATIONS_SQL,
+            "op12_chat_format": _chat_sql()}

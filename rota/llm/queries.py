@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rota.llm import (
-    chat, credentials, decontam, hamming, hilbert, licenses, packing, privacy, quality, simhash, spans,
+    chat, collocations, credentials, decontam, hamming, hilbert, licenses, packing, privacy, quality, simhash, spans,
     substrings, whitening,
 )
 from rota.llm.frames import ID
@@ -83,6 +83,10 @@ def op10_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(found, ("email", "ip", "card", "phone"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     # The contract's own conversation, whose texts look like markers.
@@ -115,4 +119,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_hilbert_shards, op2_simhash, op3_substrings, op4_decontaminate, op5_secrets,
         op6_licenses, op7_hamming_top_k, op8_quality, op9_packing, op10_privacy,
-        op12_chat_format, op13_whitening)}
+        op11_collocations, op12_chat_format, op13_whitening)}
