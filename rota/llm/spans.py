@@ -130,6 +130,15 @@ def near(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
 def redact(text: Column, spans: Column, labels: dict[str, str], other: str) -> Column:
     """``text`` with every span replaced by its kind's label (overlapping spans
     by the label of the first); NULL stays NULL."""
+    return _replaced(text, spans, lambda s: _choose(s["kind"], labels, other))
+
+
+def blank(text: Column, spans: Column) -> Column:
+    """``text`` with as many spaces in the place of every span; places stay."""
+    return _replaced(text, spans, lambda s: F.repeat(F.lit(" "), (s["end"] - s["start"]).cast("int")))
+
+
+def _replaced(text: Column, spans: Column, by) -> Column:
     merged = F.aggregate(
         F.array_sort(spans), F.array().cast(f"array<{SPAN}>"),
         lambda acc, s: F.when(
@@ -137,12 +146,11 @@ def redact(text: Column, spans: Column, labels: dict[str, str], other: str) -> C
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.element_at(acc, -1).withField(
                 "end", F.greatest(F.element_at(acc, -1)["end"], s["end"])))))
         .otherwise(F.concat(acc, F.array(s))))
-    label = lambda s: _choose(s["kind"], labels, other)
     done = F.aggregate(
         merged, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out")),
         lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.concat(
             F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
-            label(s)))).alias("out")),
+            by(s)))).alias("out")),
         lambda acc: F.concat(F.array_join(acc["out"], ""),
                              F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2147483647))))
     return F.when(F.size(F.coalesce(spans, F.array().cast(f"array<{SPAN}>"))) > 0, done).otherwise(text)

@@ -35,10 +35,10 @@ def brute_weak(text, radius=credentials.RADIUS):
     url = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\x20\t\n\x0b\f\r\"'<>]+")
     low += brute.find("identifier", ident, text, bool) + brute.find("endpoint", url, text, bool)
     role = {"assign": "s", "hex": "s", "secret": "s", "access": "i", "identifier": "i", "endpoint": "e"}
-    parts = [(a, role[k]) for a, k, _ in brute_base(text) + low]
+    parts = [(a, b, role[k]) for a, k, b in brute_base(text) + low]
     out = []
     for a, k, b in low:
-        near = {r for at, r in parts if a - radius <= at <= b + radius}
+        near = {r for at, to, r in parts if to >= a - radius and at <= b + radius}
         if {"secret": "i" in near or "e" in near, "identifier": "s" in near,
                 "endpoint": {"i", "s"} <= near}[k]:
             out.append((a, k, b))
