@@ -32,6 +32,8 @@ SHARDS = 16
 CHUNK_WORDS = 1 << 21      # words a task counts at a time
 FILTER_BITS = 26           # the union's bitmap has 2 ** FILTER_BITS bits
 NO_LANGUAGE = "und"
+FEW_LANGUAGES = 10_000     # up to so many, their totals are broadcast
+RANK_PARTS = 64            # parts of a language that are ranked apart first
 
 _BLOCK = 1 << 22           # bytes of text split at a time
 # A-Z to a-z, tab to space, the ends of pieces to a byte that UTF-8 text doesn't have.
@@ -250,7 +252,8 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
                     _part(F.col("words"), F.col("k") + 1, size - F.col("k")).alias("right")))
     known = lambda part, n: phrases.select("lang", F.col("phrase").alias(part), F.col("a").alias(n))
     cuts = cuts.join(known("left", "l"), ["lang", "left"]).join(known("right", "r"), ["lang", "right"])
-    # Languages are few; the optimiser sees their number when it plans this join.
+    if totals.count() <= FEW_LANGUAGES:
+        totals = F.broadcast(totals)
     cuts = cuts.join(totals, "lang").withColumn("score", _score())
     best = cuts.groupBy("lang", "phrase").agg(
         F.min(F.struct("score", "k", "l", "r", "a", F.col("total").alias("n"))).alias("b"))
@@ -262,8 +265,13 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
               .groupBy("lang", "phrase").agg(F.max("a").alias("longer")))
     kept = (best.join(inside, ["lang", "phrase"], "left")
             .where(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("b.a") * subsumed)))
-    order = Window.partitionBy("lang").orderBy(F.desc("b.score"), F.desc("b.a"), F.asc("phrase"))
-    ranked = kept.withColumn("rank", F.row_number().over(order))
+    order = [F.desc("b.score"), F.desc("b.a"), F.asc("phrase")]
+    if top is not None:
+        # The first of every part of a language hold the first of the language.
+        part = F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))
+        first = F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))
+        kept = kept.withColumn("part", part).withColumn("first", first).where(F.col("first") <= top)
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     if top is not None:
         ranked = ranked.where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase",
