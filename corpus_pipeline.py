@@ -2,6 +2,13 @@
 
 Each stage takes the rows the one before it kept and returns a DataFrame. All
 but the last return the columns of ``documents``.
+
+Edge cases, by stage: a NULL or empty text has a score like any other and stays
+or goes by it; all such texts share one fingerprint, so one of them passes the
+second stage. Of equal texts, and of repeated rows, one row stays, the one
+with the smallest id (NULL last). What is left has no ties: one row per id and
+text. Extra columns pass through to the last stage, whatever their names.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -56,10 +63,21 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over ``documents``. Results of the stages
-    before it are written to the shared checkpoint folder and read again."""
+    before it are written to the shared checkpoint folder and read again; each is
+    deleted when the next one is written. The last of them is read by the
+    returned rows and stays: one folder ``corpus-pipeline-*`` a run, the caller's to
+    remove."""
     docs = read_table(spark, sf_dir, "documents")
-    folder = f"{checkpoint_dir(spark)}/corpus-pipeline-{uuid4().hex}"
+    folder, before = f"{checkpoint_dir(spark)}/corpus-pipeline-{uuid4().hex}", None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        here = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(here)
+        if before:
+            _delete(spark, before)
+        docs, before = spark.read.parquet(here), here
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
