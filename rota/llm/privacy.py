@@ -38,6 +38,7 @@ from rota.session import cut_lineage
 GENERALISE, REMOVE = 0.8, 0.9
 EVIDENCE, CONFIDENCE, CHANCE = 0.5, 1.645, 0.05
 SHORTEST = 2          # letters and digits of a term
+FEW_REPEATS = 100_000
 
 # The base patterns. A search starts where the last match ended
 # or at the start of a run of its first characters, which finds the same
@@ -123,14 +124,30 @@ def entity_classes(texts: DataFrame, least: int) -> DataFrame:
     return own.join(sizes, "entity").select(ID, KEY, "class", "n_entity").distinct()
 
 
-def telling_terms(docs: DataFrame, texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, least: int,
-                  evidence: float, shortest: int) -> DataFrame:
+def repeated(found: DataFrame) -> DataFrame | None:
+    """(``_id``, ``_key``) of documents in several rows, None if there are none; up to
+    ``FEW_REPEATS`` of them are marked for a broadcast."""
+    again = cut_lineage(found.groupBy(ID, KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(ID, KEY))
+    n = again.count()
+    return None if not n else F.broadcast(again) if n <= FEW_REPEATS else again
+
+
+def telling_terms(docs: DataFrame, texts: DataFrame, terms: DataFrame, repeats: DataFrame | None, id_col: str,
+                  text_col: str, least: int, evidence: float, shortest: int) -> DataFrame:
     """(term, n_term): terms of the texts with entities that can reach the evidence,
     with the documents of the corpus that hold them outside pattern spans."""
     wanted = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_near")).where(F.col("n_near") >= least)
-    held = docs.select(F.xxhash64(F.col(id_col), text_key(text_col)).alias(_DOC), F.explode(
-        _terms(F.coalesce(F.col(text_col), F.lit("")), shortest)).alias("term"))
-    held = held.groupBy("term").agg(F.count_distinct(_DOC).alias("n_held"))
+    said = F.explode(_terms(F.coalesce(F.col(text_col), F.lit("")), shortest)).alias("term")
+    held = docs.select(said).groupBy("term").agg(F.count(F.lit(1)).alias("n_held"))
+    if repeats is not None:
+        # Rows that say the same again, taken off once each.
+        (key,) = fresh(docs, "_text_key")
+        rows = meet(docs.withColumn(key, text_key(text_col)), repeats, "left_semi", id_col, key)
+        again = (rows.select(F.xxhash64(F.col(id_col), F.col(key)).alias(_DOC), said)
+                 .groupBy("term", _DOC).agg((F.count(F.lit(1)) - 1).alias("n"))
+                 .groupBy("term").agg(F.sum("n").alias("n_again")))
+        held = held.join(again, "term", "left").select(
+            "term", (F.col("n_held") - F.coalesce("n_again", F.lit(0))).alias("n_held"))
     # Terms of a whole text that are none outside its spans, and the other way round
     # (a span may start or end inside a word).
     whole, rest = _terms(F.col("_text"), shortest), _terms(F.col("_blank"), shortest)
@@ -173,7 +190,7 @@ def scan_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = found.where("size(base) > 0").dropDuplicates([ID, KEY])
     texts = cut_lineage(texts.select(ID, KEY, "base", "_text", sp.blank(F.col("_text"), F.col("base")).alias("_blank")))
     terms = texts.select(ID, KEY, F.explode(_terms(F.col("_blank"), shortest)).alias("term"))
-    telling = cut_lineage(telling_terms(docs, texts, terms, id_col, text_col, least, evidence, shortest))
+    telling = cut_lineage(telling_terms(docs, texts, terms, repeated(found), id_col, text_col, least, evidence, shortest))
     terms = terms.join(telling, "term")
     classes = cut_lineage(entity_classes(texts, least))
     met = meet(terms, classes, "inner", extra=lambda r: F.col("n_entity") >= evidence * F.col("n_term"))
