@@ -6,7 +6,9 @@ inside whole-stage codegen.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,6 +26,20 @@ def bit_or(col: Column | str) -> Column:
     return F.max(_c(col).cast("int"))
 
 
+def whole_number(col: Column | str) -> Column:
+    """``CAST(x AS INT)`` for dirty input: NULL where the cast would fail."""
+    return _c(col).try_cast("int")
+
+
+def refused_casts(df: DataFrame, columns: Sequence[str], kind: str = "int") -> DataFrame:
+    """One row per name in ``columns``: (column, refused), the values that ``try_cast`` turns into NULL.
+    One aggregate, so that no refused value stays unseen."""
+    counts = df.agg(*[F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(kind).isNull()).alias(c)
+                      for c in columns])
+    return counts.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).alias("refused")) for c in columns])).alias("r")).select("r.*")
+
+
 def flag_text(col: Column | str) -> Column:
     """``CASE WHEN x = 1 THEN 'true' ELSE 'false' END`` - NULL gives ``'false'``."""
     return F.when(_c(col) == 1, F.lit("true")).otherwise(F.lit("false"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rota.functions.columns import bit_or, flag_text, sorted_array
+from rota.session import cut_lineage
 
 # Flag columns of the location master and of the mapping.
 LOCATION_FLAGS = ("IPCheckEnabled", "LocationCheckEnabled", "IPCheckEnabledOnMobile")
@@ -35,6 +36,35 @@ def owners_with(driving: DataFrame, facts: DataFrame, driving_key: str,
     return driving.join(keys, driving[driving_key] == keys["_k"], "left_semi")
 
 
+def first_owners_with(driving: DataFrame, facts: DataFrame, driving_key: str, fact_key: str,
+                      n: int, block: int | None = None) -> DataFrame:
+    """``owners_with(...)`` ordered by the driving key, first ``n`` rows, candidates first.
+
+    The next block of driving rows in key order is taken, and EXISTS is tested for
+    its key range alone, so the scan of ``facts`` carries that range as a filter and
+    moves only the keys of a few blocks. Blocks (``block`` rows, default ``4 n``) grow
+    fourfold until ``n`` rows are sure or the driving rows end; equal keys are never
+    cut apart, NULL keys have no facts. Exact, and each round brings the driver
+    three numbers."""
+    size, after, found, have = max(block or 4 * n, 1), None, None, 0
+    key = F.col(driving_key)
+    rest = driving.where(key.isNotNull())
+    while have < n:
+        ahead = rest if after is None else rest.where(key > F.lit(after))
+        head = ahead.select(driving_key).orderBy(key).limit(size)
+        edge = head.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.lit(1)).alias("n")).first()
+        if not edge["n"]:
+            break
+        inside = lambda c: F.col(c).between(F.lit(edge["low"]), F.lit(edge["high"]))
+        hits = cut_lineage(owners_with(ahead.where(inside(driving_key)), facts.where(inside(fact_key)),
+                                       driving_key, fact_key))
+        found, have = hits if found is None else found.unionAll(hits), have + hits.count()
+        after, size = edge["high"], size * 4
+        if edge["n"] < size // 4:
+            break
+    return (driving.limit(0) if found is None else found).orderBy(driving_key).limit(n)
+
+
 def mapped_locations(mapping: DataFrame, locations: DataFrame, owner: str = "EmployeeCode",
                      location: str = "LocationID", location_id: str = "ID",
                      columns: Sequence[str] = ()) -> DataFrame:
@@ -45,18 +75,27 @@ def mapped_locations(mapping: DataFrame, locations: DataFrame, owner: str = "Emp
 
 
 def access_flags(mapping: DataFrame, locations: DataFrame, owner: str = "EmployeeCode",
-                 location: str = "LocationID", location_id: str = "ID") -> DataFrame:
+                 location: str = "LocationID", location_id: str = "ID",
+                 reduced: bool = False) -> DataFrame:
     """Per owner, ``'true'`` when any mapped location (with a master row) has
     the flag set, else ``'false'``: (owner, IPCheckEnabled, LocationCheckEnabled,
     IPCheckEnabledOnMobile, PunchIn, PunchOut). Owners without mapped locations
-    have no row; ``attach_flags`` fills them with ``'false'``."""
-    joined = mapped_locations(mapping.select(owner, location, *MAPPING_FLAGS), locations,
+    have no row; ``attach_flags`` fills them with ``'false'``. ``reduced``: the
+    mapping has one row per (owner, location) already (``location_pairs``)."""
+    pairs = mapping if reduced else _flag_bits(mapping, [owner, location])
+    joined = mapped_locations(pairs.select(owner, location, *MAPPING_FLAGS), locations,
                               owner, location, location_id, LOCATION_FLAGS)
     flags = (*LOCATION_FLAGS, *MAPPING_FLAGS)
     agg = joined.groupBy(owner).agg(*[bit_or(c).alias(c) for c in flags])
     return agg.select(owner, *[flag_text(c).alias(c) for c in flags])
 
 
+def _flag_bits(mapping: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The mapping's flags, one row per key: what meets the location master, so that
+    a location's many raw rows are collapsed map-side and never move to it."""
+    return mapping.groupBy(*keys).agg(*[bit_or(c).alias(c) for c in MAPPING_FLAGS])
+
+
 def attach_flags(driving: DataFrame, flags: DataFrame, driving_key: str,
                  owner: str = "EmployeeCode") -> DataFrame:
     """``CROSS APPLY`` of a correlated scalar aggregate: exactly one flag row
@@ -72,7 +111,7 @@ def access_flags_global(mapping: DataFrame, locations: DataFrame,
                         location: str = "LocationID", location_id: str = "ID") -> DataFrame:
     """The flags over the whole mapping, ignoring the owner: exactly one row,
     also on empty input."""
-    joined = mapped_locations(mapping.select(location, *MAPPING_FLAGS), locations,
+    joined = mapped_locations(_flag_bits(mapping, [location]), locations,
                               location=location, location_id=location_id,
                               columns=LOCATION_FLAGS)
     flags = (*LOCATION_FLAGS, *MAPPING_FLAGS)
@@ -87,11 +126,11 @@ def attach_global_flags(driving: DataFrame, mapping: DataFrame, locations: DataF
     aggregate runs once and its value is inlined into the projection, so no
     join and no pairing of rows happens.
     """
-    joined = mapped_locations(mapping.select(location, *MAPPING_FLAGS), locations,
+    joined = mapped_locations(_flag_bits(mapping, [location]), locations,
                               location=location, location_id=location_id,
                               columns=LOCATION_FLAGS)
     flags = (*LOCATION_FLAGS, *MAPPING_FLAGS)
-    row = joined.agg(F.struct(*[bit_or(c).alias(c) for c in flags])).scalar()
+    row =joined.agg(F.struct(*[bit_or(c).alias(c) for c in flags])).scalar()
     return driving.select(*driving.columns, *[flag_text(row[c]).alias(c) for c in flags])
 
 

@@ -5,6 +5,10 @@ attached with a left join, so a parent without children gets NULL (never an
 empty array). Arrays are sorted by their leading fields, so documents are
 deterministic. Inside the plan everything stays a struct or array; JSON text
 is produced once, at the edge, by ``to_json`` (NULL fields are left out).
+
+Dates print as ``yyyy-MM-dd``, timestamps of either kind as
+``yyyy-MM-ddTHH:mm:ss``, with as many digits of a second as are not zero and no
+time zone (a TIMESTAMP in the session's zone).
 """
 
 from __future__ import annotations
@@ -13,23 +17,56 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    ArrayType, DataType, MapType, StructType, TimestampNTZType, TimestampType,
+)
 
 from rota.functions.columns import sorted_array
 
 ENCODINGS = ("nested", "text")
 
 
-def detail_object(fields: Sequence[str], encoding: str = "nested") -> Column:
+def _has_time(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return any(_has_time(f.dataType) for f in kind.fields)
+    if isinstance(kind, ArrayType):
+        return _has_time(kind.elementType)
+    if isinstance(kind, MapType):
+        return _has_time(kind.valueType)
+    return isinstance(kind, (TimestampType, TimestampNTZType))
+
+
+def json_ready(value: Column, kind: DataType) -> Column:
+    """``value`` of type ``kind`` with its timestamps, at any depth, as their JSON text.
+    (``to_json`` has one fixed pattern per type, which prints a fraction always
+    or never.) Values without timestamps are left as they are."""
+    if not _has_time(kind):
+        return value
+    if isinstance(kind, StructType):
+        fields = [json_ready(value[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda e: json_ready(e, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, v: json_ready(v, kind.valueType))
+    return F.replace(value.cast("string"), F.lit(" "), F.lit("T"))
+
+
+def detail_object(fields: Sequence[str], encoding: str = "nested",
+                  schema: StructType | None = None) -> Column:
     """One object from a row's ``fields``.
 
     ``nested`` keeps it a struct, so it is embedded in the parent as a JSON
     object; ``text`` turns it into JSON text first, so the parent carries it
-    as an escaped string value.
+    as an escaped string value. ``schema``: of the row, for the text of its timestamps.
     """
     if encoding not in ENCODINGS:
         raise ValueError(f"encoding must be one of {ENCODINGS}")
-    obj = F.struct(*[F.col(f) for f in fields])
-    return obj if encoding == "nested" else F.to_json(obj)
+    if encoding == "nested":
+        return F.struct(*[F.col(f) for f in fields])
+    return F.to_json(F.struct(*[
+        F.col(f) if schema is None else json_ready(F.col(f), schema[f].dataType).alias(f)
+        for f in fields]))
 
 
 def child_array(children: DataFrame, parent_key: Sequence[str] | str,
@@ -65,5 +102,5 @@ def attach(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str,
 
 def to_json_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace the named struct/array columns by their JSON text."""
-    return df.select(*[F.to_json(F.col(c)).alias(c) if c in columns else F.col(c)
-                       for c in df.columns])
+    return df.select(*[F.to_json(json_ready(F.col(c), df.schema[c].dataType)).alias(c)
+                       if c in columns else F.col(c) for c in df.columns])

@@ -185,6 +185,17 @@ def expand_days(df: DataFrame, start: str, end: str, out: str = "SingleDate",
     return as_days(df, start, end).select(*cols, F.explode(day_sequence(start, end)).alias(out))
 
 
+def split_by_length(df: DataFrame, start: str, end: str, max_days: int,
+                    length: str = "Days") -> tuple[DataFrame, DataFrame]:
+    """(kept, rejected): a guard before ``expand_days`` against bad interval bounds.
+    ``rejected`` holds the rows that would give more than ``max_days`` days, with their
+    ``length``; every other row, reversed and open intervals included, is in ``kept``.
+    No interval is shortened."""
+    days = F.datediff(F.col(end).cast("date"), F.col(start).cast("date")) + 1
+    long_ = F.coalesce(days > max_days, F.lit(False))
+    return df.where(~long_), df.where(long_).withColumn(length, days)
+
+
 def resolve_overlaps(df: DataFrame, owner: Keys, start: str, end: str, candidate: str,
                      day: str = "SingleDate") -> DataFrame:
     """Per (owner, day) the highest candidate among the intervals covering the
@@ -211,16 +222,16 @@ def restrict_owners(df: DataFrame, owner: Keys, owners: DataFrame | None) -> Dat
 def resolved_ranges(df: DataFrame, owner: Keys, start: str, end: str, candidate: str,
                     day: str = "SingleDate", range_start: str = "RangeStart",
                     range_end: str = "RangeEnd", owners: DataFrame | None = None,
-                    method: str = "days") -> DataFrame:
+                    method: str = "segments") -> DataFrame:
     """Overlap-free date ranges per (owner, candidate): each day goes to the
     highest covering candidate, then each candidate's days collapse to maximal
     runs. Result: (owner..., candidate, range_start, range_end). ``owners``
     restricts the result to those owner keys, before anything is expanded.
 
-    ``method='days'`` expands every interval to its days (rows = interval
-    days); ``method='segments'`` never materialises days (rows grow with the
-    number of intervals times log(length)), see ``resolved_segments``. Both
-    give the same result.
+    ``method='segments'`` never materialises days (rows grow with the number of
+    intervals times log(length)), see ``resolved_segments``; ``method='days'``
+    expands every interval to its days (rows = interval days). Both give the
+    same result.
     """
     keys = _keys(owner)
     if method not in ("days", "segments"):
@@ -236,34 +247,44 @@ def resolved_ranges(df: DataFrame, owner: Keys, start: str, end: str, candidate:
 
 
 # Day numbers count from the first representable date, so they are never
-# negative and a right shift is a floor division. 2**23 days cover every DATE.
+# negative and a right shift is a floor division.
 _DAY_ZERO = "0001-01-01"
-_LEVELS = 23
 
 
 def _day_number(col: str):
     return F.datediff(F.col(col), F.to_date(F.lit(_DAY_ZERO)))
 
 
-def _dyadic_blocks(a: str, b: str):
-    """The canonical cover of the day numbers [a, b] by aligned blocks
-    (level j, index k) = [k * 2**j, (k + 1) * 2**j - 1]: at most two blocks per
-    level, disjoint, union exactly [a, b]. A static array expression."""
-    lo = lambda j: F.shiftright(F.col(a) + (2 ** j - 1), j)      # noqa: E731
-    hi = lambda j: F.shiftright(F.col(b) + 1, j) - 1               # noqa: E731
-    elems = []
-    for j in range(_LEVELS):
-        parent_empty = lo(j + 1) > hi(j + 1)
-        take_lo = (lo(j) <= hi(j)) & (parent_empty | (lo(j) < lo(j + 1) * 2))
-        take_hi = (hi(j) > lo(j)) & (parent_empty | (hi(j) > hi(j + 1) * 2 + 1))
-        elems.append(F.when(take_lo, F.struct(F.lit(j).alias("j"), lo(j).alias("k"))))
-        elems.append(F.when(take_hi, F.struct(F.lit(j).alias("j"), hi(j).alias("k"))))
-    return F.filter(F.array(*elems), lambda e: e.isNotNull())
+def _shift(way: str, value, by):
+    return F.call_function(f"shift{way}", value, by)
 
 
-def resolved_segments(df: DataFrame, owner: Keys, start: str, end: str, candidate: str,
-                      range_start: str = "RangeStart", range_end: str = "RangeEnd") -> DataFrame:
-    """``resolved_ranges`` without expanding days.
+def _top_bit(value):
+    """Place of the highest set bit of a positive number."""
+    return F.length(F.bin(value)) - 1
+
+
+def _day_blocks(iv: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """(keep..., _j, _k): the cover of the day numbers [_a, _b] by aligned
+    blocks [_k * 2**_j, (_k + 1) * 2**_j - 1]: disjoint, at most two of a level.
+
+    With c the middle (the multiple of the highest power of two in (_a, _b + 1]), the
+    blocks before c have the sizes of the set bits of _x = c - _a, growing, and those
+    after it of _y = _b + 1 - c, shrinking."""
+    j = F.col("_j")
+    rows = iv.select(*keep, "_a", "_x", "_y",
+                     F.explode(F.sequence(F.lit(0), _top_bit(F.col("_x").bitwiseOR(F.col("_y"))))).alias("_j"))
+    on = lambda c: _shift("right", F.col(c), j).bitwiseAND(F.lit(1)) == 1
+    below = F.col("_x").bitwiseAND(_shift("left", F.lit(1), j) - 1)
+    first = _shift("right", F.col("_a") + below, j)
+    second = _shift("right", F.col("_a") + F.col("_x") + _shift("left", _shift("right", F.col("_y"), j + 1), j + 1), j)
+    return (rows.select(*keep, "_j", F.explode(F.array(F.when(on("_x"), first), F.when(on("_y"), second))).alias("_k"))
+            .where(F.col("_k").isNotNull()))
+
+
+def _winning_segments(df: DataFrame, keys: list[str], start: str, end: str, candidate: str) -> DataFrame:
+    """(keys..., _s, _e, candidate): per owner disjoint stretches of day numbers, each
+    with the highest candidate of the intervals that cover it (NULL if they have none).
 
     1. Each interval is covered by at most 46 aligned power-of-two day blocks;
        the highest candidate per (owner, level, block) is a partial aggregate.
@@ -271,32 +292,55 @@ def resolved_segments(df: DataFrame, owner: Keys, start: str, end: str, candidat
        line into segments; no interval starts or ends inside a segment, so one
        candidate wins all of it.
     3. The winner of a segment is the highest block value over the blocks that
-       contain its first day: one equi-join on (owner, level, block) per level.
+       contain its first day: an equi-join on (owner, level, block). An owner's
+       edges carry a bitmap of the levels its blocks have, so only these are
+       probed: intervals of up to a month have five levels, not 23.
        The keys include the block, so a hot owner is spread over many tasks.
-    4. Adjacent segments with the same winner merge (a window per owner and
-       candidate over segments, bounded by the owner's distinct edge dates).
     """
-    keys = _keys(owner)
     iv = (as_days(df, start, end).select(*keys, candidate, _day_number(start).alias("_a"),
                     _day_number(end).alias("_b"))
-          .where((F.col("_b") >= F.col("_a")) & F.col(candidate).isNotNull()))
-    blocks = (iv.select(*keys, candidate, F.explode(_dyadic_blocks("_a", "_b")).alias("_blk"))
-              .select(*keys, candidate, F.col("_blk.j").alias("_j"), F.col("_blk.k").alias("_k"))
+          .where(F.col("_b") >= F.col("_a")))
+    after = F.col("_b") + 1
+    step = _top_bit(F.col("_a").bitwiseXOR(after))
+    middle = _shift("left", _shift("right", after, step), step)
+    iv = iv.withColumn("_x", middle - F.col("_a")).withColumn("_y", after - middle)
+    blocks = (_day_blocks(iv, [*keys, candidate])
               .groupBy(*keys, "_j", "_k").agg(F.max(candidate).alias("_m")))
-    edges = (iv.select(*keys, F.explode(F.array(F.col("_a"), F.col("_b") + 1)).alias("_p"))
-             .distinct())
-    w = Window.partitionBy(*keys).orderBy("_p")
+    edges = (iv.select(*keys, F.col("_x").bitwiseOR(F.col("_y")).alias("_l"),
+                       F.explode(F.array(F.col("_a"), F.col("_b") + 1)).alias("_p"))
+             .groupBy(*keys, "_p").agg(F.bit_or("_l").alias("_l")))
+    w = Window.partitionBy(*keys)
     segments = (edges.select(*keys, F.col("_p").alias("_s"),
-                             (F.lead("_p").over(w) - 1).alias("_e"))
+                             (F.lead("_p").over(w.orderBy("_p")) - 1).alias("_e"),
+                             F.bit_or("_l").over(w).alias("_l"))
                 .where(F.col("_e").isNotNull()))
-    probes = segments.select(
-        *keys, "_s", "_e",
-        F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.shiftright("_s", j).alias("k"))
-                            for j in range(_LEVELS)])).alias("_probe"))
-    probes = probes.select(*keys, "_s", "_e", F.col("_probe.j").alias("_j"),
-                           F.col("_probe.k").alias("_k"))
-    won = (probes.join(blocks, [*keys, "_j", "_k"], "inner")
-           .groupBy(*keys, "_s", "_e").agg(F.max("_m").alias(candidate)))
+    probes = (segments.select(*keys, "_s", "_e", "_l", F.explode(F.sequence(F.lit(0), _top_bit(F.col("_l")))).alias("_j"))
+              .where(_shift("right", F.col("_l"), F.col("_j")).bitwiseAND(F.lit(1)) == 1)
+              .select(*keys, "_s", "_e", "_j", _shift("right", F.col("_s"), F.col("_j")).alias("_k")))
+    return (probes.join(blocks, [*keys, "_j", "_k"], "inner")
+            .groupBy(*keys, "_s", "_e").agg(F.max("_m").alias(candidate)))
+
+
+def overlap_pieces(df: DataFrame, owner: Keys, start: str, end: str, candidate: str,
+                   piece_start: str = "PieceStart", piece_end: str = "PieceEnd") -> DataFrame:
+    """``resolve_overlaps`` without days: (owner..., piece_start, piece_end, candidate),
+    disjoint pieces whose days are those that some interval of the owner covers, each
+    with the highest covering candidate. Rows grow with the intervals' edges,
+    not with their length; ``expand_days`` gives the days when they are needed."""
+    keys = _keys(owner)
+    zero = F.to_date(F.lit(_DAY_ZERO))
+    won = _winning_segments(df.select(*keys, candidate, start, end).distinct(), keys, start, end, candidate)
+    return won.select(*keys, F.date_add(zero, F.col("_s")).alias(piece_start),
+                      F.date_add(zero, F.col("_e")).alias(piece_end), candidate)
+
+
+def resolved_segments(df: DataFrame, owner: Keys, start: str, end: str, candidate: str,
+                      range_start: str = "RangeStart", range_end: str = "RangeEnd") -> DataFrame:
+    """``resolved_ranges`` without expanding days: the winning segments of each
+    owner, adjacent ones with the same winner merged (a window per owner and
+    candidate over segments, bounded by the owner's distinct edge dates)."""
+    keys = _keys(owner)
+    won = _winning_segments(df.where(F.col(candidate).isNotNull()), keys, start, end, candidate)
     w2 = Window.partitionBy(*keys, candidate).orderBy("_s")
     prev_e = F.lag("_e").over(w2)
     new_run = F.when(prev_e.isNull() | (F.col("_s") > prev_e + 1), 1).otherwise(0)

@@ -110,18 +110,22 @@ def location_pairs(mapping: DataFrame, owner: str = "EmployeeCode",
     )
 
 
-def location_flags(mapping: DataFrame, location: str = "LocationID") -> DataFrame:
-    """The punch bits of the whole mapping, one row per location."""
-    return mapping.groupBy(location).agg(
-        bit_or("PunchIn").alias("PunchIn"), bit_or("PunchOut").alias("PunchOut"))
+def _mapping_fields(mapping: DataFrame, owner: str, location: str, fields: Sequence[str]) -> DataFrame:
+    """``fields`` of the mapping reduced to one row per (owner, location)."""
+    reduce = {"rangeinkm": bit_or}
+    return mapping.groupBy(owner, location).agg(*[reduce.get(f, F.min)(f).alias(f) for f in fields])
 
 
 def location_summary(mapping: DataFrame, locations: DataFrame, owner: str = "EmployeeCode",
-                     location: str = "LocationID", location_id: str = "ID") -> DataFrame:
+                     location: str = "LocationID", location_id: str = "ID",
+                     reduced: bool = False) -> DataFrame:
     """Per (owner, location) with a master row: MIN georange, MAX rangeinkm,
     MIN coordinates, MIN FromDate, MIN ToDate (the earliest end, as in the
-    reports) and MIN alias."""
-    joined = mapped_locations(mapping, locations, owner, location, location_id,
+    reports) and MIN alias. The mapping is reduced to one row per (owner,
+    location) before it meets the master, unless it is already (``reduced``)."""
+    pairs = mapping if reduced else _mapping_fields(
+        mapping, owner, location, ("georange", "rangeinkm", "FromDate", "ToDate"))
+    joined = mapped_locations(pairs, locations, owner, location, location_id,
                               ("Latitude", "Longitude", "LocationAlias"))
     return joined.groupBy(owner, location).agg(
         F.min("georange").alias("georange"),
@@ -136,9 +140,10 @@ def location_summary(mapping: DataFrame, locations: DataFrame, owner: str = "Emp
 
 def location_summary_array(mapping: DataFrame, locations: DataFrame,
                            owner: str = "EmployeeCode", location: str = "LocationID",
-                           location_id: str = "ID", out: str = "LocationDetails") -> DataFrame:
+                           location_id: str = "ID", out: str = "LocationDetails",
+                           reduced: bool = False) -> DataFrame:
     """``location_summary`` as one array per owner sorted by location id."""
-    per_loc = location_summary(mapping, locations, owner, location, location_id)
+    per_loc = location_summary(mapping, locations, owner, location, location_id, reduced)
     return per_loc.groupBy(owner).agg(
         sorted_array(location, *LOCATION_FIELDS).alias(out))
 
@@ -147,7 +152,8 @@ def location_details(mapping: DataFrame, locations: DataFrame, owner: str = "Emp
                      location: str = "LocationID", location_id: str = "ID",
                      start: str = "FromDate", end: str = "ToDate",
                      intervals: DataFrame | None = None,
-                     owners: DataFrame | None = None, method: str = "segments") -> DataFrame:
+                     owners: DataFrame | None = None, method: str = "segments",
+                     reduced: bool = False) -> DataFrame:
     """Per (owner, location) with a master row: MIN georange, MAX rangeinkm,
     MIN coordinates, MIN alias and ``DateRanges`` - the overlap-resolved date
     ranges the location wins (absent when it wins no day).
@@ -155,8 +161,9 @@ def location_details(mapping: DataFrame, locations: DataFrame, owner: str = "Emp
     ``mapping`` may be raw rows or ``location_pairs``; ``intervals`` are the
     raw interval rows to expand (default: ``mapping``). ``owners`` (one column,
     the owner key) restricts the intervals before they are resolved. ``method``: see
-    ``resolved_ranges``."""
-    joined = mapped_locations(mapping, locations, owner, location, location_id,
+    ``resolved_ranges``; ``reduced``: see ``location_summary``."""
+    pairs = mapping if reduced else _mapping_fields(mapping, owner, location, ("georange", "rangeinkm"))
+    joined = mapped_locations(pairs, locations, owner, location, location_id,
                               ("Latitude", "Longitude", "LocationAlias"))
     attrs = joined.groupBy(owner, location).agg(
         F.min("georange").alias("georange"),

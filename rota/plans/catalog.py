@@ -8,14 +8,18 @@ those reports), each also registered without it (``*_all``).
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rota.operators import access, intervals, summaries
+from rota.functions.columns import refused_casts, whole_number
 from rota.operators.documents import to_json_columns
 from rota.plans import reports
-from rota.sources.roles import RosterTables, role_tables, roster_view
+from rota.session import checkpoint_dir, cut_lineage
+from rota.sources.roles import ROLE_COLUMNS, RosterTables, role_tables, roster_tables, roster_view
+from rota.sources.sinks import write_documents
 from rota.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +103,72 @@ def location_ranges(t: RosterTables) -> DataFrame:
                                      "LocationID")
 
 
+def resolve_overlaps_pieces(t: RosterTables) -> DataFrame:
+    """``resolve_overlaps`` by pieces, expanded to days at the end."""
+    pieces = intervals.overlap_pieces(t.mapping, "EmployeeCode", "FromDate", "ToDate", "LocationID")
+    return intervals.expand_days(pieces, "PieceStart", "PieceEnd")
+
+
+def location_ranges_days(t: RosterTables) -> DataFrame:
+    return intervals.resolved_ranges(t.mapping, "EmployeeCode", "FromDate", "ToDate",
+                                     "LocationID", method="days")
+
+
+def long_assignments(t: RosterTables, max_days: int = 30) -> DataFrame:
+    """Assignments that a guard of ``max_days`` keeps from being expanded."""
+    _, rejected = intervals.split_by_length(t.mapping, "FromDate", "ToDate", max_days)
+    return rejected.select("EmployeeCode", "LocationID", "FromDate", "ToDate", "Days")
+
+
+def _dirty_mapping(t: RosterTables) -> DataFrame:
+    # rangeinkm as text, with some values that are no whole number.
+    text = F.col("rangeinkm").cast("string")
+    odd = F.when(F.col("georange") % 19 == 0, F.concat(text, F.lit(".5"))).when(F.col("georange") % 23 == 0, "n/a")
+    return t.mapping.withColumn("rangeinkm", F.coalesce(odd, text))
+
+
+def dirty_ranges(t: RosterTables) -> DataFrame:
+    """MAX of what casts to INT, per (owner, location)."""
+    return _dirty_mapping(t).groupBy("EmployeeCode", "LocationID").agg(
+        F.max(whole_number("rangeinkm")).alias("rangeinkm"))
+
+
+def dirty_ranges_refused(t: RosterTables) -> DataFrame:
+    return refused_casts(_dirty_mapping(t), ["rangeinkm"])
+
+
+def doc_locations_datetime(t: RosterTables) -> DataFrame:
+    """Location objects whose bounds carry a time of day, some a part of a second."""
+    def timed(day: str, hours, seconds):
+        return F.col(day).cast("timestamp_ntz") + F.make_dt_interval(hours=hours, secs=seconds)
+    k = F.col("georange")
+    stamped = t.mapping.withColumns({
+        "FromDate": timed("FromDate", k % 24, F.lit(0.0).cast("decimal(18,6)")),
+        "ToDate": timed("ToDate", F.lit(18), F.when(k % 4 == 0, 0.25).otherwise(0.0).cast("decimal(18,6)"))})
+    found = summaries.location_summary_array(stamped, t.locations)
+    return to_json_columns(found, ["LocationDetails"])
+
+
+def rule_lookup_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules read by name, from a view with a column called otherwise."""
+    t = role_tables(spark, sf_dir)
+    names = {role: f"rota_{role}" for role in ROLE_COLUMNS}
+    for role, name in names.items():
+        table = getattr(t, role)
+        if role == "rules":
+            table = table.withColumnRenamed("Org6", "OrgCode")
+        table.createOrReplaceTempView(name)
+    return rule_lookup(roster_tables(spark, names, {"rules": {"Org6": "OrgCode"}}))
+
+
+def written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The v3 report of everybody, written as JSON documents and read back."""
+    report = reports.employee_report(role_tables(spark, sf_dir), "v3", top_n=None, ordered=False)
+    path = f"{checkpoint_dir(spark)}/written-report-{uuid4().hex}"
+    write_documents(report, path, "json")
+    return spark.read.schema(report.schema).json(path)
+
+
 def location_ranges_segments(t: RosterTables) -> DataFrame:
     return intervals.resolved_ranges(t.mapping, "EmployeeCode", "FromDate", "ToDate",
                                      "LocationID", method="segments")
@@ -124,7 +194,9 @@ def location_summary(t: RosterTables) -> DataFrame:
 
 def location_details(t: RosterTables) -> DataFrame:
     v5 = reports.VARIANTS["v5"]
-    return to_json_columns(reports.location_elements(t, v5, t.mapping), ["LocationDetails"])
+    pairs = cut_lineage(summaries.location_pairs(t.mapping))
+    return to_json_columns(reports.location_elements(
+        t, v5, pairs, intervals=t.mapping, reduced=True), ["LocationDetails"])
 
 
 def _shift_summary(how: str) -> Callable[[RosterTables], DataFrame]:
@@ -161,6 +233,12 @@ def queries() -> dict[str, Query]:
         "resolve_overlaps": _q(resolve_overlaps),
         "location_ranges": _q(location_ranges),
         "location_ranges_segments": _q(location_ranges_segments),
+        "location_ranges_days": _q(location_ranges_days),
+        "resolve_overlaps_pieces": _q(resolve_overlaps_pieces),
+        "long_assignments": _q(long_assignments),
+        "dirty_ranges": _q(dirty_ranges),
+        "dirty_ranges_refused": _q(dirty_ranges_refused),
+        "doc_locations_datetime": _q(doc_locations_datetime),
         "access_flags": _q(access_flags),
         "access_flags_global": _q(access_flags_global),
         "rule_lookup": _q(rule_lookup),
@@ -173,6 +251,8 @@ def queries() -> dict[str, Query]:
         "doc_nested": _q(_doc("v3")),
     }
     q["shift_ranges_timestamps"] = shift_ranges_timestamps
+    q["rule_lookup_view"] = rule_lookup_view
+    q["written_report"] = written_report
     for v in reports.VARIANTS:
         q[f"report_{v}"] = _q(_report(v, "default"))
         q[f"report_{v}_all"] = _q(_report(v, None))

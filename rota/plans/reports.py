@@ -20,15 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rota.operators.access import (
-    access_flags, allow_list, attach_flags, attach_global_flags, owners_with, rule_lookup,
+    access_flags, allow_list, attach_flags, attach_global_flags, first_owners_with, owners_with,
+    rule_lookup,
 )
 from rota.operators.documents import (
     attach, child_array, detail_object, keyed_elements, to_json_columns,
 )
 from rota.operators.intervals import change_blocks, daily_ranges, restrict_owners
 from rota.operators.summaries import (
-    BREAK_FIELDS, ROSTER_FIELDS, location_details, location_flags, location_pairs,
-    location_summary_array, roster_daily, shift_summary,
+    BREAK_FIELDS, ROSTER_FIELDS, location_details, location_pairs, location_summary_array, roster_daily, shift_summary,
 )
 from rota.session import cut_lineage
 from rota.sources.roles import RosterTables
@@ -76,11 +76,12 @@ def driving_set(t: RosterTables, top_n: int | None = None,
     ``top_n`` by employee code when given. ``roster`` may be the reduced
     roster (``roster_daily``) to share its scan."""
     emp = t.employees.join(t.status, F.col("ED_Status") == F.col("ESM_EmpStatusID"), "inner")
-    emp = owners_with(emp, t.roster if roster is None else roster, "ed_empcode", "EmpCode")
-    emp = emp.select(F.col("ed_empcode").alias("EmpCode"), *IDENTITY)
-    if top_n is not None:
-        emp = emp.orderBy("EmpCode").limit(top_n)
-    return emp
+    facts = t.roster if roster is None else roster
+    if top_n is None:
+        emp = owners_with(emp, facts, "ed_empcode", "EmpCode")
+    else:
+        emp = first_owners_with(emp, facts, "ed_empcode", "EmpCode", top_n)
+    return emp.select(F.col("ed_empcode").alias("EmpCode"), *IDENTITY)
 
 
 def shift_elements(t: RosterTables, v: Variant, roster: DataFrame,
@@ -108,20 +109,21 @@ def shift_elements(t: RosterTables, v: Variant, roster: DataFrame,
     summary = summary.join(ranges, ["EmpCode", "ShiftID"], "left")
     fields = [*ROSTER_FIELDS, *master_fields, *break_fields, "ShiftRanges"]
     details = summary.select("EmpCode", "ShiftID",
-                             detail_object(fields, v.shift_encoding).alias("ShiftDetails"))
+                             detail_object(fields, v.shift_encoding, summary.schema).alias("ShiftDetails"))
     return keyed_elements(roster, details, "EmpCode", "ShiftID", "ShiftDetails", "ShiftDetails")
 
 
 def location_elements(t: RosterTables, v: Variant, mapping: DataFrame,
                       intervals: DataFrame | None = None,
-                      owners: DataFrame | None = None, ranges_method: str = "segments") -> DataFrame:
+                      owners: DataFrame | None = None, ranges_method: str = "segments",
+                      reduced: bool = False) -> DataFrame:
     """(EmployeeCode, LocationDetails array) for one variant. ``mapping`` may
-    be raw rows or ``location_pairs``; v5 expands ``intervals`` (default:
-    ``mapping``) restricted to ``owners`` after the daily reduction."""
+    be raw rows or ``location_pairs`` (``reduced``); v5 resolves ``intervals`` (default:
+    ``mapping``) restricted to ``owners``."""
     if v.location == "summary":
-        return location_summary_array(mapping, t.locations)
+        return location_summary_array(mapping, t.locations, reduced=reduced)
     det = location_details(mapping, t.locations, intervals=intervals, owners=owners,
-                           method=ranges_method)
+                           method=ranges_method, reduced=reduced)
     det = det.select("EmployeeCode", "LocationID",
                      detail_object(LOCATION_DETAIL_FIELDS, "nested").alias("LocationDetails"))
     return keyed_elements(mapping, det, "EmployeeCode", "LocationID", "LocationDetails",
@@ -158,14 +160,14 @@ def employee_report(t: RosterTables, variant: str | Variant = "v3", top_n=_DEFAU
     mapping = cut_lineage(location_pairs(raw_mapping))
 
     if v.flags == "global":
-        doc = attach_global_flags(driving, location_flags(t.mapping), t.locations)
+        doc = attach_global_flags(driving, t.mapping, t.locations)
     else:
-        doc = attach_flags(driving, access_flags(mapping, t.locations), "EmpCode")
+        doc = attach_flags(driving, access_flags(mapping, t.locations, reduced=True), "EmpCode")
 
     doc = attach(doc, shift_elements(t, v, roster, weight="_rows"), "EmpCode", "EmpCode",
                  ["ShiftDetails"])
     doc = attach(doc, location_elements(t, v, mapping, intervals=raw_mapping,
-                                        ranges_method=ranges_method),
+                                        ranges_method=ranges_method, reduced=True),
                  "EmpCode", "EmployeeCode", ["LocationDetails"])
     doc = attach(doc, allow_list(t.ip_ranges, mapping, t.locations), "EmpCode", "EmployeeCode",
                  ["IPRange"])

@@ -14,7 +14,8 @@ the two in step.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,62 @@ class RosterTables:
     rules: DataFrame       # ShiftID, RuleItemValue, Org6, RuleRelatedTo, RuleConfigAttrItemName, RuleEndDate
 
 
+# The columns that the operators read from each role.
+ROLE_COLUMNS = {
+    "employees": ("ed_empcode", "ed_Salutation", "ed_firstname", "ed_MiddleName", "ed_lastname", "ed_empid",
+                  "ED_Status"),
+    "status": ("ESM_EmpStatusID", "ESM_EmpStatusDesc"),
+    "roster": ("EmpCode", "ShiftID", "Date", "AttMode", "DiffIN", "DiffOUT", "TotalworkedMinutes", "RegIN",
+               "RegOut", "PreTime", "PostTime", "FromMin", "ToMin"),
+    "shifts": ("ShiftId", "ShiftName", "InTime", "OutTime", "TotalMinutes", "SwipesSeperatorParam",
+               "ISWorkBtwnShifttime", "IsBreakApplicable", "IsNightShiftApplicable", "IsActive", "AutoShift",
+               "ShiftAllowance"),
+    "breaks": ("ShiftId", "BreakInTime", "BreakOutTime", "TotalBreakMinutes", "Applicable"),
+    "mapping": ("EmployeeCode", "LocationID", "georange", "rangeinkm", "FromDate", "ToDate", "PunchIn", "PunchOut"),
+    "locations": ("ID", "Latitude", "Longitude", "LocationAlias", "IPCheckEnabled", "LocationCheckEnabled",
+                  "IPCheckEnabledOnMobile"),
+    "ip_ranges": ("GeoConfigurationID", "IPFrom", "IPTo"),
+    "rules": ("ShiftID", "RuleItemValue", "Org6", "RuleRelatedTo", "RuleConfigAttrItemName", "RuleEndDate"),
+}
+
+
+def roster_tables(spark: SparkSession, names: Mapping[str, str],
+                  columns: Mapping[str, Mapping[str, str]] | None = None) -> RosterTables:
+    """The nine roles from tables and views of the session's catalog.
+
+    ``names``: role -> table or view name, with its schema if need be
+    (``hr.roster``). ``columns``: role -> {column an operator reads: column of the table},
+    for those named otherwise; names are compared as the session does. A role
+    without a name, an unknown table or a missing column is an error that lists
+    everything missing at once. Lazy: nothing is read, unused columns are not selected.
+    """
+    roles, columns = [f.name for f in fields(RosterTables)], columns or {}
+    unknown = sorted({*names, *columns} - set(roles))
+    if unknown:
+        raise ValueError(f"no such role: {', '.join(unknown)}; roles are {', '.join(roles)}")
+    exact = spark.conf.get("spark.sql.caseSensitive") == "true"
+    found, wrong = {}, []
+    for role in roles:
+        if role not in names:
+            wrong.append(f"{role}: no table named")
+        elif not spark.catalog.tableExists(names[role]):
+            wrong.append(f"{role}: no table or view {names[role]}")
+        else:
+            table, own = spark.table(names[role]), columns.get(role, {})
+            have = {c if exact else c.lower() for c in table.columns}
+            source = {c: own.get(c, c) for c in ROLE_COLUMNS[role]}
+            strange = sorted(set(own) - set(source))
+            missing = sorted(c for c in source.values() if (c if exact else c.lower()) not in have)
+            wrong += [f"{role}: {c} is no column of this role" for c in strange]
+            if missing:
+                wrong.append(f"{role} ({names[role]}): no column {', '.join(missing)}")
+            else:
+                found[role] = table.select(*[F.col(f"`{c}`").alias(want) for want, c in source.items()])
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return RosterTables(**found)
+
+
 def _hhmmss(hour: Column, minute: str) -> Column:
     return F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(f":{minute}:00"))
 

@@ -292,7 +292,31 @@ SELECT * FROM per_shift JOIN master USING (ShiftID) LEFT JOIN pauses USING (Shif
     }
     q["first_value_window"] = q["resolve_daily_shift"]
     q["shift_ranges_timestamps"] = q["shift_ranges"]
-    q["location_ranges_segments"] = q["location_ranges"]
+    q["location_ranges_segments"] = q["location_ranges_days"] = q["location_ranges"]
+    q["resolve_overlaps_pieces"] = q["resolve_overlaps"]
+    q["rule_lookup_view"] = q["rule_lookup"]
+    q["long_assignments"] = _with("""
+SELECT EmployeeCode, LocationID, FromDate, ToDate, (ToDate - FromDate + 1)::INT AS Days
+FROM mapping WHERE ToDate - FromDate >= 30""")
+    dirty = """dirty AS (
+  SELECT EmployeeCode, LocationID, CASE WHEN georange % 19 = 0 THEN rangeinkm::VARCHAR || '.5'
+         WHEN georange % 23 = 0 THEN 'n/a' ELSE rangeinkm::VARCHAR END AS shown
+  FROM mapping)"""
+    whole = "CASE WHEN regexp_full_match(shown, '[0-9]+') THEN shown::INT END"
+    q["dirty_ranges"] = _with(f"""
+SELECT EmployeeCode, LocationID, max({whole}) AS rangeinkm FROM dirty GROUP BY ALL""", dirty)
+    q["dirty_ranges_refused"] = _with(f"""
+SELECT 'rangeinkm' AS "column", count(*) FILTER ({whole} IS NULL) AS refused FROM dirty""", dirty)
+    q["doc_locations_datetime"] = _with(f"""
+SELECT EmployeeCode, to_json(list({_object("LocationID", *PLACE)} ORDER BY LocationID))::VARCHAR AS LocationDetails
+FROM (SELECT * REPLACE (replace(FromDate::VARCHAR, ' ', 'T') AS FromDate, replace(ToDate::VARCHAR, ' ', 'T') AS ToDate)
+      FROM (SELECT EmployeeCode, LocationID, min(georange) AS georange, max(rangeinkm::INT) AS rangeinkm,
+                   min(Latitude) AS Latitude, min(Longitude) AS Longitude,
+                   min(FromDate::TIMESTAMP + to_hours(georange % 24)) AS FromDate,
+                   min(ToDate::TIMESTAMP + to_hours(18) + to_milliseconds(CASE WHEN georange % 4 = 0 THEN 250 ELSE 0 END)) AS ToDate,
+                   min(LocationAlias) AS LocationAlias
+            FROM located GROUP BY EmployeeCode, LocationID))
+GROUP BY EmployeeCode""")
     for name, variant in (("doc_flat", "v1"), ("doc_text", "v2"), ("doc_nested", "v3")):
         q[name] = _with("""
 SELECT EmpCode, ShiftDetails
@@ -301,4 +325,5 @@ FROM (SELECT DISTINCT EmpCode FROM roster) LEFT JOIN shift_documents USING (EmpC
     for variant, n in {"v1": 10, "v2": 100, "v3": 10, "v4": 10, "v5": 10}.items():
         q[f"report_{variant}"] = report_sql(variant, n)
         q[f"report_{variant}_all"] = report_sql(variant, None)
+    q["written_report"] = q["report_v3_all"]
     return q
