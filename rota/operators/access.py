@@ -164,6 +164,34 @@ def allow_list(ip_ranges: DataFrame, mapping: DataFrame, locations: DataFrame,
                     .alias(out)))
 
 
+def allow_list_sets(ip_ranges: DataFrame, mapping: DataFrame, locations: DataFrame,
+                    owner: str = "EmployeeCode", location: str = "LocationID",
+                    location_id: str = "ID", ip_location: str = "GeoConfigurationID",
+                    fields: Sequence[str] = ("IPFrom", "IPTo"), out: str = "IPRange",
+                    key: str = "LocationSet") -> tuple[DataFrame, DataFrame]:
+    """``allow_list`` in two parts: (owner, key) and (key, out). ``key`` is the owner's
+    sorted set of mapped locations; each distinct set has its IP rows gathered once,
+    however many owners share it, so rows do not grow with owners x IP rows.
+    The join of both on ``key`` is ``allow_list``; owners whose locations have no IP
+    rows are in the first part alone."""
+    ids = owner_location_ids(mapping, locations, owner, location, location_id)
+    owners = ids.groupBy(owner).agg(F.sort_array(F.collect_set(location)).alias(key))
+    rows = ip_ranges.select(F.col(ip_location).alias(location), *fields)
+    sets = owners.select(key).distinct()
+    lists = (sets.withColumn(location, F.explode(key)).join(rows, location, "inner")
+             .groupBy(key).agg(sorted_array(location, *fields).alias("_ips"))
+             .select(key, F.transform("_ips", lambda e: F.struct(*[e[f].alias(f) for f in fields]))
+                     .alias(out)))
+    return owners, lists
+
+
+def collated(df: DataFrame, columns: Sequence[str], collation: str = "UTF8_LCASE") -> DataFrame:
+    """``df`` with text ``columns`` under a collation: joins, grouping, DISTINCT and
+    comparisons on them then follow it (``UTF8_LCASE``: case does not count). Both
+    sides of a comparison need it. The default everywhere is binary comparison."""
+    return df.withColumns({c: F.collate(F.col(c), collation) for c in columns})
+
+
 def rule_lookup(rules: DataFrame, org: str, key: str = "ShiftID",
                 attributes: Mapping[str, str] | None = None,
                 group: str = RULE_GROUP, value: str = "RuleItemValue",

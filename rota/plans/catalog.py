@@ -149,6 +149,23 @@ def doc_locations_datetime(t: RosterTables) -> DataFrame:
     return to_json_columns(found, ["LocationDetails"])
 
 
+def rule_lookup_collated(t: RosterTables) -> DataFrame:
+    """Rules whose keys and names are written in mixed case, read without regard to it;
+    one row per key, under its lower-case name."""
+    odd = F.length("RuleItemValue") % 2 == 0
+    mixed = {c: F.when(odd, F.upper(c)).otherwise(F.col(c))
+             for c in ("ShiftID", "RuleRelatedTo", "RuleConfigAttrItemName")}
+    rules = access.collated(t.rules.withColumns(mixed), list(mixed))
+    found = access.rule_lookup(rules, reports.RULE_ORG)
+    return found.withColumn("ShiftID", F.collate(F.lower("ShiftID"), "UTF8_BINARY"))
+
+
+def allow_list_shared(t: RosterTables) -> DataFrame:
+    """``allow_list`` from its factorised form."""
+    owners, lists = access.allow_list_sets(t.ip_ranges, t.mapping, t.locations)
+    return to_json_columns(owners.join(lists, "LocationSet").select("EmployeeCode", "IPRange"), ["IPRange"])
+
+
 def rule_lookup_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules read by name, from a view with a column called otherwise."""
     t = role_tables(spark, sf_dir)
@@ -235,6 +252,8 @@ def queries() -> dict[str, Query]:
         "location_ranges_segments": _q(location_ranges_segments),
         "location_ranges_days": _q(location_ranges_days),
         "resolve_overlaps_pieces": _q(resolve_overlaps_pieces),
+        "rule_lookup_collated": _q(rule_lookup_collated),
+        "allow_list_shared": _q(allow_list_shared),
         "long_assignments": _q(long_assignments),
         "dirty_ranges": _q(dirty_ranges),
         "dirty_ranges_refused": _q(dirty_ranges_refused),

@@ -294,7 +294,8 @@ SELECT * FROM per_shift JOIN master USING (ShiftID) LEFT JOIN pauses USING (Shif
     q["shift_ranges_timestamps"] = q["shift_ranges"]
     q["location_ranges_segments"] = q["location_ranges_days"] = q["location_ranges"]
     q["resolve_overlaps_pieces"] = q["resolve_overlaps"]
-    q["rule_lookup_view"] = q["rule_lookup"]
+    q["rule_lookup_view"] = q["rule_lookup_collated"] = q["rule_lookup"]
+    q["allow_list_shared"] = q["allow_list_in"]
     q["long_assignments"] = _with("""
 SELECT EmployeeCode, LocationID, FromDate, ToDate, (ToDate - FromDate + 1)::INT AS Days
 FROM mapping WHERE ToDate - FromDate >= 30""")
