@@ -113,12 +113,18 @@ def learn(counts: np.ndarray, labels: np.ndarray, dims: int = DIMS) -> Model:
     weights = np.log((1 + len(counts)) / (1 + seen)).astype(np.float32) + 0.2
     model = Model(weights, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels)
     if len(counts):
-        x = counts * weights
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        # Right singular vectors, from the smaller of the two Gram matrices' size.
-        values, vectors = np.linalg.eigh(x.T @ x)
+        # Right singular vectors, from the Gram matrix of the terms; in blocks, so that
+        # the driver holds the counts once.
+        blocks = [slice(i, i + BLOCK) for i in range(0, len(counts), BLOCK)]
+        gram = np.zeros((counts.shape[1], counts.shape[1]), np.float32)
+        for b in blocks:
+            x = counts[b] * weights
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+            gram += x.T @ x
+        _, vectors = np.linalg.eigh(gram)
         model.axes = np.ascontiguousarray(vectors[:, ::-1][:, :dims].astype(np.float32))
-        model.vectors = model.latent(counts)
+        del gram, vectors
+        model.vectors = np.concatenate([model.latent(counts[b]) for b in blocks])
     return model
 
 
@@ -157,9 +163,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     found = (rows.mapInArrow(count, "id long, y int, x binary")
              .orderBy(F.xxhash64("id"), "id", "x").limit(sample).collect())
-    x = (np.stack([np.frombuffer(r["x"], np.float16) for r in found]).astype(np.float32)
-         if found else np.zeros((0, TERMS), np.float32))
-    return learn(x, np.array([r["y"] for r in found], np.float64))
+    x, y = np.empty((len(found), TERMS), np.float32), np.array([r["y"] for r in found], np.float64)
+    for i in range(len(found)):
+        x[i], found[i] = np.frombuffer(found[i]["x"], np.float16), None
+    return learn(x, y)
 
 
 def score_column(spark, model: Model, text_col: str = "text") -> Column:
