@@ -158,6 +158,10 @@ def employee_report(t: RosterTables, variant: str | Variant = "v3", top_n=_DEFAU
     roster = cut_lineage(roster_daily(restrict_owners(t.roster, "EmpCode", owners)))
     raw_mapping = restrict_owners(t.mapping, "EmployeeCode", owners)
     mapping = cut_lineage(location_pairs(raw_mapping))
+    intervals = None
+    if v.location == "details":
+        # Read by both halves of the segment form, so computed once as well.
+        intervals = cut_lineage(raw_mapping.select("EmployeeCode", "LocationID", "FromDate", "ToDate").distinct())
 
     if v.flags == "global":
         doc = attach_global_flags(driving, t.mapping, t.locations)
@@ -166,7 +170,7 @@ def employee_report(t: RosterTables, variant: str | Variant = "v3", top_n=_DEFAU
 
     doc = attach(doc, shift_elements(t, v, roster, weight="_rows"), "EmpCode", "EmpCode",
                  ["ShiftDetails"])
-    doc = attach(doc, location_elements(t, v, mapping, intervals=raw_mapping,
+    doc = attach(doc, location_elements(t, v, mapping, intervals=intervals,
                                         ranges_method=ranges_method, reduced=True),
                  "EmpCode", "EmployeeCode", ["LocationDetails"])
     doc = attach(doc, allow_list(t.ip_ranges, mapping, t.locations), "EmpCode", "EmployeeCode",
