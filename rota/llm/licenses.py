@@ -1,13 +1,18 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-Blocks are the lines of every document, templates a short list of notices. A
-block meets a template when it contains at least ``CONTAINMENT`` of the
-template's distinct words. The words of the templates are ordered by how many
-documents of the corpus hold them, rarest first. With n words and c of them
+Blocks are windows of consecutive words, wherever lines end; templates a short
+list of notices. A template of m words is compared with every window of m and a
+quarter more words (``window``; two more at least), so its words must stand close
+together, and a text that is shorter is one block. A block meets a template when
+it contains at least ``CONTAINMENT`` of the template's distinct words.
+
+The words of the templates are ordered by how many documents of the corpus hold
+them, rarest first; all other words come before them. With n words and c of them
 needed, a block that meets the template holds one of its n - c + 1 rarest words
-(prefix filter); it has at least c distinct words (length filter); and when the
-first shared word is the template's p-th, at most n - p words can be shared
-(positional filter). What passes is counted exactly.
+(prefix filter). Its shared words all lie at or after the first of them in that
+order, so where fewer than c places around that word hold such words, no block does
+(positional filter). A block has at least c words, at most ``window`` of them
+(length filter). What passes is counted exactly.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ CONTAINMENT = 0.8
 PHRASES = (("mit license", "mit"), ("apache license", "apache"),
            ("general public license", "gpl"))
 
-# Usual one-line notices and opening sentences, by label. Of four
+# Usual short notices and opening sentences, by label. Of four
 # words or fewer all are needed, so short notices are listed by their telling
 # words, none of which a block may lack.
 TEMPLATES = (
@@ -80,37 +85,64 @@ def word_counts(docs: DataFrame, vocabulary: Sequence[bytes], text_col: str = "t
     return {w: found.get(w, 0) for w in listed}
 
 
+def window(n_words: int) -> int:
+    """Words of the blocks that a template of ``n_words`` words is compared with."""
+    return n_words + max(2, math.ceil(n_words / 4))
+
+
 class Templates:
     """Templates with their words in the global order, and an index of prefixes."""
 
     def __init__(self, templates: Sequence[tuple[str, str]], counts: dict[bytes, int],
                  containment: float):
+        order = sorted({w for _, t in templates for w in _words(t)}, key=lambda w: (counts.get(w, 0), w))
+        self.rank = {w: r for r, w in enumerate(order)}
         self.rows, self.prefix = [], {}
         for label, text in templates:
-            words = sorted(set(_words(text)), key=lambda w: (counts.get(w, 0), w))
-            need = max(math.ceil(containment * len(words) - 1e-9), 1)
-            for p, w in enumerate(words[:len(words) - need + 1]):
-                self.prefix.setdefault(w, []).append((len(self.rows), p))
-            self.rows.append((label, words, need))
-        self.signs = tuple(self.prefix)
-
-    def block(self, words: set[bytes]) -> list[tuple[str, float]]:
-        """(label, containment) of the templates that a block of words meets."""
-        first: dict[int, int] = {}
-        for w in words & self.prefix.keys():
-            for t, p in self.prefix[w]:
-                first[t] = min(p, first.get(t, p))
+            ranks = sorted({self.rank[w] for w in _words(text)})
+            need = max(math.ceil(containment * len(ranks) - 1e-9), 1)
+            for r in ranks[:len(ranks) - need + 1]:
+                self.prefix.setdefault(r, []).append(len(self.rows))
+            self.rows.append((label, frozenset(ranks), need, window(len(_words(text)))))
+        self.signs = tuple(order[r] for r in self.prefix)
+
+    def meet(self, words: list[bytes]) -> list[tuple[str, float]]:
+        """(label, greatest containment in a block) of the templates that a text meets."""
+        ranks = [self.rank.get(w, -1) for w in words]
+        areas: dict[int, list[list[int]]] = {}   # template -> stretches of blocks that hold a prefix word
+        for i, r in enumerate(ranks):
+            for t in self.prefix.get(r, ()):
+                _, _, need, wide = self.rows[t]
+                lo, hi = max(i - wide + 1, 0), min(i + wide, len(ranks))
+                if hi - lo < need or sum(x >= r for x in ranks[lo:hi]) < need:
+                    continue
+                found = areas.setdefault(t, [])
+                if found and lo <= found[-1][1]:
+                    found[-1][1] = hi
+                else:
+                    found.append([lo, hi])
         out = []
-        for t, p in first.items():
-            label, ordered, need = self.rows[t]
-            if len(words) < need or len(ordered) - p < need:
-                continue
-            shared = sum(w in words for w in ordered[p:])
-            if shared >= need:
-                out.append((label, shared / len(ordered)))
+        for t, stretches in areas.items():
+            label, wanted, need, wide = self.rows[t]
+            best = max(_most(ranks, wanted, wide, lo, hi) for lo, hi in stretches)
+            if best >= need:
+                out.append((label, best / len(wanted)))
         return out
 
 
+def _most(ranks: list[int], wanted: frozenset[int], wide: int, lo: int, hi: int) -> int:
+    """Most distinct words of ``wanted`` in any ``wide`` consecutive places from lo to hi."""
+    last: dict[int, int] = {}
+    best = 0
+    for i in range(lo, hi):
+        if ranks[i] in wanted:
+            last[ranks[i]] = i
+            best = max(best, sum(at > i - wide for at in last.values()))
+            if best == len(wanted):
+                break
+    return best
+
+
 def _base(text: bytes, phrases) -> tuple[int, int, int | None, int | None, set[str]]:
     """(words, places, first, last, labels) of the phrases in an ALNUM_LOWER text."""
     words = text.split()
@@ -136,7 +168,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   containment: float = CONTAINMENT) -> DataFrame:
     """One row per input row: ``doc_id``, words, places where a phrase stands,
     smallest and largest of them, its labels, these with the labels of templates
-    that a line meets, and the best containment found (1 where a phrase stands,
+    that a block meets, and the best containment found (1 where a phrase stands,
     0 where nothing was found). NULL and empty texts: 0 words, empty labels,
     score 0. The templates are a parameter of the call and small, so they
     travel with the tasks."""
@@ -155,12 +187,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     n, base, first, last, labels = _base(plain, split)
                     best, more = float(base > 0), set(labels)
                     if any(w in plain for w in ready.signs):
-                        for line in text.split(b"\n"):
-                            low = line.translate(ALNUM_LOWER)
-                            if any(w in low for w in ready.signs):
-                                for label, share in ready.block(set(low.split())):
-                                    more.add(label)
-                                    best = max(best, share)
+                        for label, share in ready.meet(plain.split()):
+                            more.add(label)
+                            best = max(best, share)
                     rows.append((n, base, first, last, ",".join(sorted(labels)),
                                  ",".join(sorted(more)), best))
                 kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]

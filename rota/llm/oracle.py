@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from rota.llm import chat
 from rota.llm.collocations import LONGEST, NO_LANGUAGE, SUBSUMED, SUPPORT, TOP
-from rota.llm.licenses import CONTAINMENT, PHRASES, TEMPLATES, _words
+from rota.llm.licenses import CONTAINMENT, PHRASES, TEMPLATES, _words, window
 from rota.llm.queries import DIMS, NEAREST, QUERY_STEP
 from rota.llm.substrings import WIDTH
 
@@ -43,12 +43,13 @@ FROM pairs QUALIFY rank <= {NEAREST}
 def _licenses_sql() -> str:
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     plain = lambda text: [w.decode() for w in _words(text)]
-    templates = ",\n        ".join(f"('{label}', {quoted(sorted(set(plain(t))))})" for label, t in TEMPLATES)
+    templates = ",\n        ".join(f"({n}, '{label}', {quoted(sorted(set(plain(t))))}, {window(len(plain(t)))})"
+                               for n, (label, t) in enumerate(TEMPLATES))
     phrases = ",\n        ".join(f"('{label}', {quoted(plain(p))})" for p, label in PHRASES)
     words = (r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
              r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
     return f"""
-WITH templates(label, wanted) AS (VALUES
+WITH templates(t, label, wanted, wide) AS (VALUES
         {templates}),
 phrases(label, phrase) AS (VALUES
         {phrases}),
@@ -62,13 +63,17 @@ base AS (
     SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
            list_sort(list(DISTINCT label)) AS labels
     FROM places GROUP BY doc_id),
-lines AS (
-    SELECT doc_id, list_distinct({words.format("line")}) AS words
-    FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
+listed AS (
+    SELECT t, label, len(wanted) AS n, wide, unnest(wanted) AS word FROM templates),
+places_of_words AS (
+    SELECT doc_id, generate_subscripts(words, 1) AS p, unnest(words) AS word FROM split),
+blocks AS (
+    SELECT doc_id, label, n, count(DISTINCT word) OVER (
+        PARTITION BY doc_id, t ORDER BY p RANGE BETWEEN CURRENT ROW AND wide - 1 FOLLOWING) AS shared
+    FROM places_of_words JOIN listed USING (word)),
 met AS (
-    SELECT doc_id, label, len(list_intersect(wanted, words)) / len(wanted) AS share
-    FROM lines, templates
-    WHERE len(list_intersect(wanted, words)) >= ceil({CONTAINMENT} * len(wanted) - 1e-9)),
+    SELECT DISTINCT doc_id, label, shared / n AS share
+    FROM blocks WHERE shared >= ceil({CONTAINMENT} * n - 1e-9)),
 best AS (
     SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM met GROUP BY doc_id)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,

@@ -1,5 +1,6 @@
 import math
 import random
+import textwrap
 
 import duckdb
 import pytest
@@ -7,7 +8,7 @@ import pytest
 from rota.llm import licenses, oracle, queries
 from rota.sources.tables import read_table
 from tests.conftest import SF_SMALL
-from tests.llm.corpus import SCHEMA, awkward_texts, frame
+from tests.llm.corpus import SCHEMA, awkward_texts, frame, sentence
 from tests.llm.test_decontam import words
 
 
@@ -22,13 +23,12 @@ def brute(rows, templates=licenses.TEMPLATES, phrases=licenses.PHRASES):
             at += hits
             labels |= {label} if hits else set()
         more, best = set(labels), float(bool(at))
-        for line in (text or "").split("\n"):
-            have = set(words(line))
-            for label, t in templates:
-                want = set(words(t))
-                if len(want & have) >= math.ceil(licenses.CONTAINMENT * len(want) - 1e-9):
-                    more.add(label)
-                    best = max(best, len(want & have) / len(want))
+        for label, t in templates:
+            want, wide = set(words(t)), licenses.window(len(words(t)))
+            shared = max(len(want.intersection(w[i:i + wide])) for i in range(max(len(w), 1)))
+            if shared >= math.ceil(licenses.CONTAINMENT * len(want) - 1e-9):
+                more.add(label)
+                best = max(best, shared / len(want))
         out.append((doc, len(w), len(at), min(at, default=None), max(at, default=None),
                     ",".join(sorted(labels)), ",".join(sorted(more)), best))
     return sorted(out, key=str)
@@ -56,7 +56,8 @@ def mixed_rows():
         rng.random() < 0.2 and rng.shuffle(words_)
         rows.append((40_000 + i, rng.choice([" ", "-", ". "]).join(words_)))
     return rows + [(50_000, "mit mit license license"), (50_001, "MIT\nLicense"), (50_002, "mitlicense"),
-                   (50_003, "Apache License " * 300), rows[60]]
+                   (50_003, "Apache License " * 300),
+                   (50_004, "all x rights\n\nreserved " * 200), rows[60]]
 
 
 def test_awkward_rows(spark):
@@ -91,16 +92,54 @@ def test_empty_table_and_no_templates(spark):
     assert result(out) == [(0, 3, 1, 1, 1, "mit", "mit", 1.0)]
 
 
+NOTICES = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software "
+           'and associated documentation files (the "Software"), to deal in the Software without restriction',
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted "
+           "provided that the following conditions are met:",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without "
+           "fee is hereby granted, provided that the above copyright notice appear in all copies",
+    "apache": "you may not use this file except in compliance with the License. You may obtain a copy at",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the "
+           "GNU General Public License as published by the Free Software Foundation",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."}
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// "])
+def test_wrapped_notices(spark, mark):
+    rng = random.Random(3)
+    rows = [(i, f"{sentence(rng, 400)}\n" + "\n".join(textwrap.wrap(
+        notice, width, initial_indent=mark, subsequent_indent=mark)) + f"\n{sentence(rng, 400)}")
+        for i, (notice, width) in enumerate((n, w) for n in NOTICES.values() for w in (30, 75))]
+    got = licenses.scan_licenses(frame(spark, rows)).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == [label for label in NOTICES for _ in range(2)]
+    assert all(r.score >= licenses.CONTAINMENT for r in got)
+
+
+def test_scattered_words_are_no_notice(spark):
+    texts = ["the license of this blog is apache like a helicopter, see version notes from page 2 of the book",
+             "we went under the bridge with mit students, and the license of the car",
+             "all the people had their rights and seats were reserved"]
+    rng = random.Random(4)
+    texts += [" ".join(rng.sample(t := n.split() + sentence(rng, 300).split(), len(t)))
+              for n in NOTICES.values()]
+    got = licenses.scan_licenses(frame(spark, texts)).collect()
+    assert [(r.labels, r.score) for r in got] == [("", 0.0)] * len(texts)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_filters_lose_no_block(seed):
     rng = random.Random(seed)
-    letters = [c.encode() for c in "abcdefghijklmnop"]
-    templates = [(str(i), " ".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 9))))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    templates = [(str(i), " ".join(rng.choice(letters[:16]) for _ in range(rng.randint(1, 9))))
                  for i in range(12)]
-    ready = licenses.Templates(templates, {w: rng.randint(0, 9) for w in letters}, 0.7)
+    ready = licenses.Templates(templates, {c.encode(): rng.randint(0, 9) for c in letters}, 0.7)
     for _ in range(200):
-        block = {rng.choice(letters) for _ in range(rng.randint(0, 12))}
-        want = [(label, len(set(licenses._words(t)) & block) / len(set(licenses._words(t))))
-                for label, t in templates]
-        want = [(label, s) for label, s in want if s >= 0.7 - 1e-9]
-        assert sorted(ready.block(block)) == sorted(want)
+        text = [rng.choice(letters).encode() for _ in range(rng.choice([0, 1, 5, 12, 60, 200]))]
+        want = []
+        for label, t in templates:
+            words_, wide = set(licenses._words(t)), licenses.window(len(t.split()))
+            shared = max((len(words_.intersection(text[i:i + wide])) for i in range(len(text))), default=0)
+            if shared / len(words_) >= 0.7 - 1e-9:
+                want.append((label, shared / len(words_)))
+        assert sorted(ready.meet(text)) == sorted(want)
