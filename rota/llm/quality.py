@@ -32,6 +32,7 @@ BLOCK = 256          # documents compared at a time
 _WORD_TERMS, _SHAPE_TERMS, _BINS, _MEASURES = 1024, 1024, 12, 6
 TERMS = _WORD_TERMS + _SHAPE_TERMS + _BINS * _MEASURES
 _MEASURE_WEIGHT = 4.0
+_PLACES = 5
 
 # Character classes: lower-case and non-ASCII letters, upper case, digits,
 # space, newline, other control; each punctuation mark its own (32 in all, folded).
@@ -95,15 +96,19 @@ class Model:
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
         """Share of label 1 in the similarity-weighted votes; the sample's share
-        of label 1 where no neighbour has a positive similarity."""
+        of label 1 where no neighbour has a positive similarity. Of neighbours
+        equally similar (to ``_PLACES`` decimals) those first in the sample vote,
+        whose order is a hash of the id."""
         if not len(self.labels):
             return np.full(len(counts), 0.5)
-        cosine = self.latent(counts) @ self.vectors.T
+        cosine = np.round(self.latent(counts) @ self.vectors.T, _PLACES)
         k = min(NEIGHBOURS, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64)
-        total = weight.sum(1)
-        votes = (weight * self.labels[near]).sum(1)
+        kth = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, -k][:, None]
+        tied = cosine == kth
+        room = k - (cosine > kth).sum(1, keepdims=True)
+        near = (cosine > kth) | (tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= room))
+        weight = np.where(near, np.maximum(cosine, 0), 0).astype(np.float64)
+        total, votes = weight.sum(1), weight @ self.labels
         return np.where(total > 1e-9, votes / np.maximum(total, 1e-9), self.labels.mean())
 
 
@@ -121,8 +126,10 @@ def learn(counts: np.ndarray, labels: np.ndarray, dims: int = DIMS) -> Model:
             x = counts[b] * weights
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
             gram += x.T @ x
-        _, vectors = np.linalg.eigh(gram)
-        model.axes = np.ascontiguousarray(vectors[:, ::-1][:, :dims].astype(np.float32))
+        values, vectors = np.linalg.eigh(gram)
+        # A small sample spans fewer dimensions; what is left of the axes is arbitrary.
+        real = int((values[-dims:] > 1e-5 * values[-1]).sum())
+        model.axes = np.ascontiguousarray(vectors[:, ::-1][:, :max(real, 1)].astype(np.float32))
         del gram, vectors
         model.vectors = np.concatenate([model.latent(counts[b]) for b in blocks])
     return model
