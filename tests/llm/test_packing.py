@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from rota.llm import packing, queries
 from rota.sources.tables import read_table
-from tests.conftest import SF_SMALL
+from tests.conftest import SF_ORACLE, SF_SMALL
 from tests.llm.corpus import SCHEMA, awkward_texts, frame
 
 TOKENIZER = Tokenizer.from_file(queries.VOCABULARY["path"])
@@ -114,6 +114,13 @@ def test_rank_file_and_tokenizer_agree():
         assert encoder.encode(text).tolist() == ids_of(text)[:-1], repr(text)
 
 
+def test_rank_file_and_tokenizer_agree_on_the_given_documents(spark):
+    encoder = packing.Encoder(**queries.VOCABULARY)
+    texts = [r.text or "" for r in read_table(spark, SF_ORACLE, "documents").select("text").collect()]
+    assert len(texts) == 1000
+    assert all(encoder.encode(t).tolist() == ids_of(t)[:-1] for t in texts)
+
+
 def test_long_text_is_cut_where_a_token_ends(monkeypatch):
     monkeypatch.setattr(packing, "LONG_TEXT", 50)
     encoder, rng = packing.Encoder(**queries.VOCABULARY), random.Random(3)
