@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from rota.llm import queries, substrings
@@ -54,6 +55,18 @@ def test_small_slices_and_tiny_vocabulary(spark, monkeypatch, limit):
     assert result(substrings.dedup_substrings(frame(spark, rows), width=5)) == brute(rows, 5)
 
 
+@pytest.mark.parametrize("bits", [0, 3, 9])
+def test_forced_collisions(spark, monkeypatch, bits):
+    """Hashes of so few bits that different windows share all of them."""
+    whole = substrings.rolling
+    monkeypatch.setattr(substrings, "rolling", lambda hashes, width, odd=1: (
+        whole(hashes, width, odd) >> np.uint64(40) & np.uint64((1 << bits) - 1)) << np.uint64(24))
+    monkeypatch.setattr(substrings, "SLICE", 700)
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 1000)
+    rows = [r for r in awkward_texts() if r[1] is None or len(r[1]) < 50_000]
+    assert result(substrings.dedup_substrings(frame(spark, rows))) == brute(rows)
+
+
 def test_empty_table(spark):
     out = substrings.dedup_substrings(spark.createDataFrame([], SCHEMA))
     assert out.collect() == [] and out.columns == ["doc_id", "n_words", "n_removed", "kept"]
