@@ -1,7 +1,8 @@
 """Exact top-k Hamming search with incremental multi-index hashing.
 
-A code is cut into chunks of at most 16 bits and indexed under the value of
-each. If two codes differ in fewer than m(s + 1) bits, with m chunks, then some
+A code is cut into chunks and indexed under the value of each. Chunks are about
+as long as the logarithm of the number of distinct codes (8 to 24 bits), so the list of
+a value holds about one code at every size, and a probe meets about one. If two codes differ in fewer than m(s + 1) bits, with m chunks, then some
 chunk of theirs differs in at most s bits. So a query probes all values within
 s bits of its own, chunk by chunk, for s = 0, 1, 2, ...; after round s every code
 closer than m(s + 1) has been seen. In the next round c chunks are enough to see
@@ -12,13 +13,14 @@ k-th verified distance, and is done then. Queries that are done leave.
 from __future__ import annotations
 
 from itertools import combinations
+from math import log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rota.session import cut_lineage
 
-CHUNK = 16
+LEAST_BITS, MOST_BITS = 8, 24   # of a chunk
 
 
 def sign_code(vector: Column, dims: int) -> Column:
@@ -36,12 +38,13 @@ def sign_code(vector: Column, dims: int) -> Column:
     return F.array(*words)
 
 
-def _chunks(dims: int) -> list[tuple[int, int, int]]:
-    """(word, shift, bits) of chunks of near-equal length inside 64-bit words."""
-    out = []
+def _chunks(dims: int, codes: int) -> list[tuple[int, int, int]]:
+    """(word, shift, bits) of chunks of near-equal length inside 64-bit words, for an
+    index of so many codes."""
+    out, length = [], min(max(log2(max(codes, 1)), LEAST_BITS), MOST_BITS)
     for w in range(0, dims, 64):
         bits = min(64, dims - w)
-        m = -(-bits // CHUNK)
+        m = max(round(bits / length), -(-bits // MOST_BITS))
         edge = [bits * i // m for i in range(m + 1)]
         out += [(w // 64, a, b - a) for a, b in zip(edge, edge[1:])]
     return out
@@ -64,6 +67,11 @@ def distance(a: Column, b: Column, dims: int) -> Column:
     return sum((F.bit_count(F.element_at(a, w).bitwiseXOR(F.element_at(b, w))) for w in words), F.lit(0))
 
 
+def _meet(probes: DataFrame, entries: DataFrame) -> DataFrame:
+    return probes.join(entries, (F.col("in_chunk") == F.col("chunk"))
+                       & (F.col("probe") == F.col("value")))
+
+
 def top_k(queries: DataFrame, base: DataFrame, k: int, dims: int) -> DataFrame:
     """(query_id, rank, id, distance): the ``k`` rows of ``base`` nearest to every
     query, nearest first, ties by smaller id (NULL ids last).
@@ -73,23 +81,24 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, dims: int) -> DataFrame:
     are indexed once, with their ``k`` smallest ids (more can't be needed), so a
     code that a third of the rows share is one entry.
     """
-    chunks = _chunks(dims)
-    m = len(chunks)
     in_code = Window.partitionBy("code").orderBy(F.col("id").asc_nulls_last())
     members = cut_lineage(base.select("id", "code")
                           .withColumn("nth", F.row_number().over(in_code)).where(F.col("nth") <= k)
                           .groupBy("code").agg(F.array_sort(F.collect_list(F.struct(
                               F.col("id").isNull().alias("none"), "id"))).alias("ids")))
+    size = members.agg(F.count(F.lit(1)).alias("codes"), F.sum(F.size("ids")).alias("rows")).first()
+    chunks = _chunks(dims, size["codes"])
+    m, widest = len(chunks), max(bits for _, _, bits in chunks)
+    enough = min(k, size["rows"] or 0)
     entries = cut_lineage(members.select(
         "code", F.col("ids")[0]["id"].alias("low"),
         F.explode(_chunk_values(F.col("code"), chunks)).alias("c"))
         .select("code", "low", "c.chunk", "c.value"))
-    enough = min(k, base.count())
     wanted = queries.select(F.col("id").alias("query_id"), F.col("code").alias("query")).distinct()
     open_ = cut_lineage(wanted.withColumn("need", F.lit(m))   # chunks to probe next
                         .withColumn("bound", F.lit(dims)))     # no farther row can count
     best = None
-    for s in range(CHUNK + 1):
+    for s in range(widest + 1):
         value = F.col("c.value")
         probes = open_.select("query_id", "query", "bound", F.explode(F.slice(
             _chunk_values(F.col("query"), chunks), 1, F.col("need"))).alias("c"))
@@ -102,10 +111,9 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, dims: int) -> DataFrame:
         probes = (probes.withColumn("mask", F.explode(masks))
                   .select("query_id", "query", "bound", F.col("c.chunk").alias("in_chunk"),
                           value.bitwiseXOR(F.col("mask")).alias("probe")))
-        # Verified in the join: what lies beyond the k-th distance so far goes no further.
+        # Verified at once: what lies beyond the k-th distance so far goes no further.
         apart = distance(F.col("query"), F.col("code"), dims)
-        found = (probes.join(entries, (F.col("in_chunk") == F.col("chunk"))
-                             & (F.col("probe") == F.col("value")) & (apart <= F.col("bound")))
+        found = (_meet(probes, entries).where(apart <= F.col("bound"))
                  .select("query_id", "query", "code", "low", apart.alias("distance")).distinct())
         if best is not None:
             found = found.unionByName(best.join(open_, ["query_id", "query"], "left_semi")

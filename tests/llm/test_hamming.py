@@ -62,3 +62,21 @@ def test_codes_of_odd_vectors(spark):
     df = spark.createDataFrame(rows, "v array<double>")
     got = [r.c for r in df.select(hamming.sign_code(F.col("v"), 64).alias("c")).collect()]
     assert got == [[5], [0], [0], [2]]
+
+
+@pytest.mark.parametrize("dims, codes, bits", [
+    (64, 0, {8}), (64, 10_000, {12, 13}), (64, 51_000, {16}), (64, 10**12, {21, 22}),
+    (96, 1 << 20, {21, 22, 16}), (24, 10**9, {24}), (5, 100, {5})])
+def test_chunks_follow_the_number_of_codes(dims, codes, bits):
+    chunks = hamming._chunks(dims, codes)
+    assert {b for _, _, b in chunks} == bits
+    cover = sorted(w * 64 + shift + i for w, shift, b in chunks for i in range(b))
+    assert cover == list(range(dims))
+
+
+def test_long_chunks(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "LEAST_BITS", 12)
+    rng = random.Random(3)
+    base = [(i, [rng.getrandbits(24)]) for i in range(150)]
+    df = spark.createDataFrame([(*b, "x") for b in base], CODE)
+    assert result(hamming.top_k(df.limit(9), df, 4, 24)) == brute(base[:9], base, 4)
