@@ -1,8 +1,10 @@
 """Exact top-k Hamming search with incremental multi-index hashing.
 
 A code is cut into chunks and indexed under the value of each. Chunks are about
-as long as the logarithm of the number of distinct codes (8 to 24 bits), so the list of
-a value holds about one code at every size, and a probe meets about one. If two codes differ in fewer than m(s + 1) bits, with m chunks, then some
+as long as the logarithm of an eighth of the number of distinct codes (8 to 24 bits), so
+the list of a value holds about ``LISTED`` codes at every size. A probe is a row that is
+made, moved and sorted, a code of a list only a comparison inside the join, so lists of a
+few codes are cheaper than of one: probes are fewer and shorter radii do. If two codes differ in fewer than m(s + 1) bits, with m chunks, then some
 chunk of theirs differs in at most s bits. So a query probes all values within
 s bits of its own, chunk by chunk, for s = 0, 1, 2, ...; after round s every code
 closer than m(s + 1) has been seen. In the next round c chunks are enough to see
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from rota.session import cut_lineage
 
 LEAST_BITS, MOST_BITS = 8, 24   # of a chunk
+LISTED = 8                      # codes under one value of a chunk, about
 
 
 def sign_code(vector: Column, dims: int) -> Column:
@@ -87,7 +90,7 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, dims: int) -> DataFrame:
                           .groupBy("code").agg(F.array_sort(F.collect_list(F.struct(
                               F.col("id").isNull().alias("none"), "id"))).alias("ids")))
     size = members.agg(F.count(F.lit(1)).alias("codes"), F.sum(F.size("ids")).alias("rows")).first()
-    chunks = _chunks(dims, size["codes"])
+    chunks = _chunks(dims, size["codes"] // LISTED)
     m, widest = len(chunks), max(bits for _, _, bits in chunks)
     enough = min(k, size["rows"] or 0)
     entries = cut_lineage(members.select(

@@ -80,3 +80,18 @@ def test_long_chunks(spark, monkeypatch):
     base = [(i, [rng.getrandbits(24)]) for i in range(150)]
     df = spark.createDataFrame([(*b, "x") for b in base], CODE)
     assert result(hamming.top_k(df.limit(9), df, 4, 24)) == brute(base[:9], base, 4)
+
+
+def test_probes_of_a_query_stay_few(spark, monkeypatch):
+    # Lists of one code took 6000 probes for each of these queries.
+    base = spark.range(20_000).select("id", F.array(F.xxhash64("id")).alias("code"))
+    asked = base.where("id % 2000 = 7").cache()
+    rows, probes, meet = [(r.id, r.code) for r in base.collect()], [], hamming._meet
+
+    def counted(made, entries):
+        probes.append(made.count())
+        return meet(made, entries)
+    monkeypatch.setattr(hamming, "_meet", counted)
+    out = hamming.top_k(asked, base, 3, 64)
+    assert result(out) == brute([r for r in rows if r[0] % 2000 == 7], rows, 3)
+    assert sum(probes) < 1500 * 10
