@@ -172,7 +172,7 @@ def allow_list_sets(ip_ranges: DataFrame, mapping: DataFrame, locations: DataFra
     """``allow_list`` in two parts: (owner, key) and (key, out). ``key`` is the owner's
     sorted set of mapped locations; each distinct set has its IP rows gathered once,
     however many owners share it, so rows do not grow with owners x IP rows.
-    The join of both on ``key`` is ``allow_list``; owners whose locations have no IP
+    ``allow_list_of`` joins both to ``allow_list``; owners whose locations have no IP
     rows are in the first part alone."""
     ids = owner_location_ids(mapping, locations, owner, location, location_id)
     owners = ids.groupBy(owner).agg(F.sort_array(F.collect_set(location)).alias(key))
@@ -185,6 +185,13 @@ def allow_list_sets(ip_ranges: DataFrame, mapping: DataFrame, locations: DataFra
     return owners, lists
 
 
+def allow_list_of(owners: DataFrame, lists: DataFrame, key: str = "LocationSet") -> DataFrame:
+    """The parts of ``allow_list_sets`` joined: (owner, out). The narrow owners are
+    hashed and the wide lists streamed past them, so that no task sorts or holds
+    the lists of its partition."""
+    return owners.hint("shuffle_hash").join(lists, key).drop(key)
+
+
 def collated(df: DataFrame, columns: Sequence[str], collation: str = "UTF8_LCASE") -> DataFrame:
     """``df`` with text ``columns`` under a collation: joins, grouping, DISTINCT and
     comparisons on them then follow it (``UTF8_LCASE``: case does not count). Both

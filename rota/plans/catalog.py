@@ -163,7 +163,7 @@ def rule_lookup_collated(t: RosterTables) -> DataFrame:
 def allow_list_shared(t: RosterTables) -> DataFrame:
     """``allow_list`` from its factorised form."""
     owners, lists = access.allow_list_sets(t.ip_ranges, t.mapping, t.locations)
-    return to_json_columns(owners.join(lists, "LocationSet").select("EmployeeCode", "IPRange"), ["IPRange"])
+    return to_json_columns(access.allow_list_of(owners, lists), ["IPRange"])
 
 
 def rule_lookup_view(spark: SparkSession, sf_dir: str) -> DataFrame:

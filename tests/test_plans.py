@@ -99,3 +99,9 @@ def test_resolution_is_a_partial_aggregate(spark):
     plan = plan_of(iv.resolve_overlaps(t.mapping, "EmployeeCode", "FromDate", "ToDate",
                                        "LocationID"))
     assert "partial_max" in plan and "Window" not in plan
+
+
+def test_shared_lists_are_streamed_past_the_owners(spark):
+    plan = plan_of(catalog.queries()["allow_list_shared"](spark, SF_SMALL))
+    (join,) = [line for line in plan.splitlines() if re.search(r"Join.*LocationSet", line)]
+    assert "ShuffledHashJoin" in join and "BuildLeft" in join
