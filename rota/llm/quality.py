@@ -119,7 +119,7 @@ def learn(counts: np.ndarray, labels: np.ndarray, dims: int = DIMS) -> Model:
     model = Model(weights, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels)
     if len(counts):
         # Right singular vectors, from the Gram matrix of the terms; in blocks, so that
-        # the driver holds the counts once.
+        # the counts are held once.
         blocks = [slice(i, i + BLOCK) for i in range(0, len(counts), BLOCK)]
         gram = np.zeros((counts.shape[1], counts.shape[1]), np.float32)
         for b in blocks:
@@ -146,7 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     their id among the labelled ids of ``labels`` that are not held out and have
     a label and a text in ``docs``. Repeated labels of an id count once (the
     smallest), repeated texts of an id are each learned from. Term counts are
-    made in Spark; the driver gets ``sample`` short vectors."""
+    made in Spark and meet in one task, which learns from them (``sample`` rows of
+    ``2 TERMS`` bytes at any scale); the driver gets the model alone."""
     known = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()
                           & ~held_out(id_col))
              .groupBy(F.col(id_col).alias("_lid")).agg(F.min(label_col).cast("int").alias("_y")))
@@ -168,12 +169,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     [part.column(0).cast(pa.int64()), part.column(2), pa.array(packed, pa.binary())],
                     names=["id", "y", "x"])
 
-    found = (rows.mapInArrow(count, "id long, y int, x binary")
-             .orderBy(F.xxhash64("id"), "id", "x").limit(sample).collect())
-    x, y = np.empty((len(found), TERMS), np.float32), np.array([r["y"] for r in found], np.float64)
-    for i in range(len(found)):
-        x[i], found[i] = np.frombuffer(found[i]["x"], np.float16), None
-    return learn(x, y)
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))]
+        found.sort(key=lambda r: (r[0], r[1], r[3]))
+        x, y = np.empty((len(found), TERMS), np.float32), np.array([r[2] for r in found], np.float64)
+        for i in range(len(found)):
+            x[i], found[i] = np.frombuffer(found[i][3], np.float16), None
+        m = learn(x, y)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([v.tobytes()], pa.binary()) for v in (m.weights, m.axes, m.vectors, m.labels)],
+            names=["weights", "axes", "vectors", "labels"])
+
+    order = F.xxhash64("id")
+    found = (rows.mapInArrow(count, "id long, y int, x binary").orderBy(order, "id", "x").limit(sample)
+             .select(order.alias("h"), "id", "y", "x").coalesce(1)
+             .mapInArrow(fitted, "weights binary, axes binary, vectors binary, labels binary").collect())
+    if not found:
+        return learn(np.empty((0, TERMS), np.float32), np.empty(0))
+    m, of = found[0], lambda packed, kind: np.frombuffer(packed, kind).copy()
+    axes, labels = of(m["axes"], np.float32).reshape(TERMS, -1), of(m["labels"], np.float64)
+    return Model(of(m["weights"], np.float32), axes,
+                 of(m["vectors"], np.float32).reshape(len(labels), axes.shape[1]), labels)
 
 
 def score_column(spark, model: Model, text_col: str = "text") -> Column:

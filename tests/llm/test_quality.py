@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rota.llm import quality, queries
 from rota.llm.words import WordHashes
@@ -104,3 +105,23 @@ def test_low_quality_rows_go(spark):
     docs = frame(spark, ["a b", "c d"])
     kept = quality.drop_low_quality(docs, spark.createDataFrame([(1, 0, "x")], LABELS))
     assert kept.columns == docs.columns and kept.count() == 0
+
+
+def test_the_driver_gets_the_model_alone(spark, monkeypatch):
+    rng = random.Random(18)
+    texts = [sentence(rng, rng.randint(3, 30)) + rng.choice([".", "!"]) for _ in range(90)]
+    labels = [(i, i % 2, "x") for i in range(90)]
+    known = sorted(i for i in range(90) if zlib.crc32(str(i).encode()) % 5)
+    hashed = spark.createDataFrame([(i,) for i in known], "id long").orderBy(F.xxhash64("id"))
+    order, cache = [r.id for r in hashed.collect()], WordHashes()
+    counts = np.stack([quality.term_counts(texts[i].encode(), cache).astype(np.float16) for i in order])
+    want = quality.learn(counts.astype(np.float32), np.array([i % 2 for i in order], float))
+
+    def here(*args):
+        raise AssertionError("learned in the driver")
+    frames = frame(spark, list(enumerate(texts))), spark.createDataFrame(labels, LABELS)
+    monkeypatch.setattr(quality.np.linalg, "eigh", here)   # the driver's alone
+    got = quality.fit(*frames)
+    assert (got.labels == want.labels).all() and np.allclose(got.weights, want.weights)
+    asked = counts[:20].astype(np.float32)
+    assert got.vectors.shape == want.vectors.shape and got.scores(asked) == pytest.approx(want.scores(asked), abs=1e-3)
